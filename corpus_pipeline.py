@@ -38,7 +38,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     words = draws.select("doc_id", F.col("pass"), "words")
     joined = docs.join(words, "doc_id")
     whole = F.col("words") == mixing.word_count(F.col("text"))
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("words").cast("string"), F.lit("})")), 1)
+    # each piece is a word with the white space before it
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
     text = F.when(whole, F.col("text")).otherwise(cut)
     return joined.withColumn("text", text).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
