@@ -281,15 +281,16 @@ class WordEncoder(ChunkCache):
     A tokenizer that lower-cases and splits letters from the rest never merges
     across white space, so its chunks are cached; any other gets whole texts.
     A chunk of Latin letters goes straight to the library's BPE model, which
-    skips only the normaliser and splitter (both leave it one lower-case run)."""
+    skips only the normaliser and splitter (both leave it one lower-case run).
+    ``plain``: the strings of special tokens are ordinary text, so no text holds a special id."""
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000, plain: bool = False):
         super().__init__(limit)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        self.tok.encode_special_tokens = plain
         shape = str(self.tok.normalizer) + str(self.tok.pre_tokenizer)
         self.folded = "NFC" in shape and "Lowercase" in shape and "p{L}" in shape and "ByteLevel" in shape
 
@@ -323,6 +324,6 @@ class WordEncoder(ChunkCache):
 
 
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, plain: bool = False) -> WordEncoder:
     """One encoder a worker process and vocabulary; Spark reuses its workers."""
-    return WordEncoder(path)
+    return WordEncoder(path, plain=plain)

@@ -34,7 +34,7 @@ class Band:
 class Bands:
     """Bands by language, else by the script of most letters, else ``other``."""
 
-    languages: dict[str, Band] = field(default_factory=dict)
+    languages: dict[str, Band] = field(default_factory=lambda: {x: Band(chars_per_token=(1.4, 8.0), byte_share=0.1, entropy=(4.0, 14.0)) for x in ("en", "fr", "de", "es")})
     scripts: dict[str, Band] = field(default_factory=lambda: {"latin": Band(), "greek_cyrillic": Band(chars_per_token=(1.0, 8.0)), "cjk": Band(chars_per_token=(0.3, 4.0), byte_share=0.9, entropy=(3.5, 16.0))})
     other: Band = Band(chars_per_token=(0.25, 8.0), byte_share=1.0, entropy=(3.0, 16.0))
 

@@ -76,7 +76,7 @@ def _wide(rng, good: int, bad: int, draw: int) -> int:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, block_words: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Mix ``doc_id, source, text``. Returns the documents (all columns of ``docs``, and
+    """Mix ``doc_id, source, text``. Returns the documents (doc_id, source,
     size, source_size, target, taken) and the draws: doc_id, source, pass,
     first_word and words (the span that the pass takes), shard and place.
 
@@ -87,11 +87,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     is by a hash of seed and doc_id: reruns agree, whatever the partitions.
     A null text has no words and takes 0; a null source is a source of its own,
     last. Repeated rows count each. Sources without words get target 0. An empty
-    table gives empty results. Input columns named like an added one are replaced."""
+    table gives empty results. Other columns are not read."""
     spark = docs.sparkSession
-    named = docs.drop("size", "source_size", "target", "taken", "_start", "_key")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = keep(named.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("_key")), "sizes")
+    sized = keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("_key")), "sizes")
     targets = keep(source_targets(sized, weights, most), "targets")
     rows = sized.count()
     digits = 0

@@ -34,7 +34,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as flat token files, where they are, and count the tokens of each by a separator scan."""
     end_id = 49407
-    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary(WORDS), end_id, ordered=False)
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary(WORDS), end_id, ordered=False, plain=True)
     files = manifest.select(F.col("doc_base").alias("file_rank"), F.concat("path", F.lit(".bin")).alias("path"), "width", "n_tokens")
     counts = token_counts.count_tokens(files, end_id)
     named = token_files.read_document_ids(manifest).select("doc_id", F.col("ordinal"))

@@ -25,11 +25,11 @@ NULL_ID = -(2**63)
 MANIFEST = "path string, width int, first_id long, n_docs long, n_tokens long"
 
 
-def _parts(at: str, tokenizer: str, end_id: int):
+def _parts(at: str, tokenizer: str, end_id: int, plain: bool):
     schema = pa.schema([("path", pa.string()), ("width", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(tokenizer)
+        enc = word_encoder(tokenizer, plain)
         width = 2 if max(enc.tok.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         kind = np.dtype(f"<u{width}")
         fs, root = file_system(at)
@@ -65,14 +65,16 @@ def _parts(at: str, tokenizer: str, end_id: int):
     return write
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, ordered: bool = True, at: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, ordered: bool = True, plain: bool = False, at: str | None = None) -> DataFrame:
     """Encode ``doc_id, text`` into parts under ``at`` (a new shared folder if not given);
     returns the manifest: path, width, first_id, n_docs, n_tokens, and per part
     ``base`` (ids before it) and ``doc_base`` (documents before it).
 
     Each document's ids are those of the tokenizer with nothing added, and then
     ``end_id``. ``ordered``: ids ascend over all parts (nulls first, ties by
-    text); otherwise documents stay where they are and are never shuffled. A
+    text); otherwise documents stay where they are and are never shuffled.
+    ``plain``: the strings of special tokens in a text are ordinary text, so that a
+    special end id stands at document ends alone. A
     null text is empty (only the end id); an empty table gives no parts. Other
     columns are not read."""
     spark = docs.sparkSession
@@ -80,7 +82,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, ordered: boo
     seen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if ordered:
         seen = seen.repartitionByRange(F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    parts = keep(seen.mapInArrow(_parts(at, tokenizer, end_id), MANIFEST), "manifest")
+    parts = keep(seen.mapInArrow(_parts(at, tokenizer, end_id, plain), MANIFEST), "manifest")
     before = Window.orderBy("first_id", "path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return parts.withColumns({"base": F.coalesce(F.sum("n_tokens").over(before), F.lit(0)), "doc_base": F.coalesce(F.sum("n_docs").over(before), F.lit(0))})
 
