@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import bounded, temporal, tensors
 from . import views as v
-from .graph_queries import MSG, MSG_JAN
+from .graph_queries import MSG
 from .registry import query
 
 EV = f"WITH {v.EVENT_SQL}"
+QUARTER = ("1996-01-01", "1996-04-01")
+MSG_Q = v.msg_sql(*QUARTER)
 
 
 @query(f"WITH {MSG} SELECT msg_id, thread, pos FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('second', ts), sender, recipients, cc ORDER BY thread, pos) AS r FROM msg) WHERE r = 1")
@@ -124,7 +126,7 @@ def multislice_communities(spark, d):
 
 
 # -------------------------------------------------------------------- tensors
-_PRUNE = f"""WITH {MSG_JAN}, k0 AS (SELECT sender AS id FROM msg UNION SELECT unnest(recipients) FROM msg UNION SELECT unnest(cc) FROM msg),
+_PRUNE = f"""WITH {MSG_Q}, k0 AS (SELECT sender AS id FROM msg UNION SELECT unnest(recipients) FROM msg UNION SELECT unnest(cc) FROM msg),
 rr AS (SELECT msg_id, unnest(recipients) AS id FROM msg), cr AS (SELECT msg_id, unnest(cc) AS id FROM msg)"""
 for _n in range(1, 7):
     _PRUNE += f""", s{_n} AS (SELECT msg_id, sender FROM msg WHERE sender IN (SELECT id FROM k{_n - 1}) AND msg_id IN (SELECT msg_id FROM rr WHERE id IN (SELECT id FROM k{_n - 1})) AND msg_id IN (SELECT msg_id FROM cr WHERE id IN (SELECT id FROM k{_n - 1}))),
@@ -134,18 +136,18 @@ nr AS (SELECT msg_id, count(*) AS n FROM fr GROUP BY 1), nc AS (SELECT msg_id, c
 tn AS (SELECT c, r, sender AS s, sum(1.0::DOUBLE / (nr.n * nc.n)) AS v FROM msg JOIN fr USING (msg_id) JOIN fc USING (msg_id) JOIN nr USING (msg_id) JOIN nc USING (msg_id) WHERE sender IN (SELECT id FROM k6) GROUP BY c, r, sender)"""
 
 
-def _jan(spark, d):
-    return v.messages(spark, d, "1996-01-01", "1996-02-01")
+def _quarter(spark, d):
+    return v.messages(spark, d, *QUARTER)
 
 
 @query(f"{_PRUNE} SELECT id FROM k6")
 def tensor_prune(spark, d):
-    return tensors.pruned_people(_jan(spark, d))
+    return tensors.pruned_people(_quarter(spark, d))
 
 
 @query(f"{_TENSOR} SELECT c, r, s, round(v, 6) AS v FROM tn")
 def message_tensor(spark, d):
-    m = _jan(spark, d)
+    m = _quarter(spark, d)
     return tensors.message_tensor(m, tensors.pruned_people(m)).withColumn("v", F.round("v", 6))
 
 
@@ -156,7 +158,7 @@ for _n in range(1, 6):
 
 @query(", ".join(_H) + " SELECT id, round(x, 6) AS x FROM x5")
 def h_eigen_5iters(spark, d):
-    m = _jan(spark, d)
+    m = _quarter(spark, d)
     keep = tensors.pruned_people(m)
     return tensors.eigenvector_centrality(tensors.message_tensor(m, keep), keep, rounds=5, tol=None).withColumn("x", F.round("x", 6))
 
@@ -170,7 +172,7 @@ def word_tensor(spark, d):
     return tensors.word_tensor(m, words, "1996-01-01").withColumn("v", F.round("v", 6))
 
 
-@query("SELECT l_suppkey AS i, l_partkey % 20 AS j, arg_max(l_quantity, l_orderkey * 10000000000 + l_linenumber * 1000000000 + l_partkey * 10000 + l_quantity::BIGINT * 100) AS v FROM lineitem GROUP BY ALL")
+@query("SELECT l_suppkey AS i, l_partkey % 20 AS j, arg_max(l_quantity, l_orderkey * 10000000000 + l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_quantity::BIGINT * 100) AS v FROM lineitem GROUP BY ALL")
 def densified_last_write(spark, d):
     line = v.table(spark, d, "lineitem")
     seq = F.col("l_orderkey") * 10_000_000_000 + F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_quantity").cast("long") * 100
@@ -218,8 +220,8 @@ def word2vec(spark, d):
 
 @query()
 def cp_factors(spark, d):
-    """Three-term CP decomposition of the January tensor: factor rows by mode."""
-    m = _jan(spark, d)
+    """Three-term CP decomposition of the quarter's tensor: factor rows by mode."""
+    m = _quarter(spark, d)
     f = tensors.cp_als(tensors.message_tensor(m, tensors.pruned_people(m)), ["c", "r", "s"], 3, rounds=2)
     out = None
     for mode, table in f.items():
