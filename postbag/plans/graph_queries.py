@@ -232,9 +232,9 @@ def outside_component(spark, d):
     return graphs.outside_component(v.persons(spark, d), sparse(spark, d)).select("id", "name")
 
 
-@query(f"WITH RECURSIVE {MSG_JAN}, e AS (SELECT sender AS src, unnest(recipients) AS dst FROM msg WHERE len(recipients) <= 1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT 1 AS id, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN u ON src = id WHERE hop < 3) SELECT id::BIGINT AS id, min(hop)::INT AS hop FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {MSG_JAN}, e AS (SELECT sender AS src, unnest(recipients) AS dst FROM msg WHERE len(recipients) <= 1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT dst, hop + 1 FROM r JOIN u ON src = id WHERE hop < 3) SELECT id::BIGINT AS id, min(hop)::INT AS hop FROM r GROUP BY id")
 def khop(spark, d):
-    return graphs.khop(sparse(spark, d), spark.createDataFrame([(1,)], "id long"), 3)
+    return graphs.khop(sparse(spark, d), v.persons(spark, d).filter("id % 10 = 1").select("id"), 3)
 
 
 PR = [f"{GJ}, o AS (SELECT src, sum(w) AS o FROM a GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM person), x0 AS (SELECT id, 1 / n AS r FROM person, n)"]

@@ -74,10 +74,10 @@ def fading_memory(spark, d):
     return temporal.fading_memory(v.event_edges(spark, d)).withColumn("f", F.round("f", 6))
 
 
-@query("WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS slice FROM orders WHERE o_custkey % 40 = 0), f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS frame FROM orders) SELECT frame, (SELECT max(slice) FROM s WHERE slice <= frame) AS slice FROM f")
+@query("WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS slice FROM orders WHERE o_custkey % 40 = 0), f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS frame FROM orders) SELECT frame, (SELECT max(slice) FROM s WHERE slice <= frame) AS slice FROM f WHERE EXISTS (SELECT 1 FROM s WHERE slice <= frame)")
 def as_of_slices(spark, d):
     o = v.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), "o_custkey")
-    return temporal.as_of(o.select(F.col("day").alias("frame")).distinct(), o.filter("o_custkey % 40 = 0").select(F.col("day").alias("slice")).distinct())
+    return temporal.as_of(o.select(F.col("day").alias("frame")).distinct(), o.filter("o_custkey % 40 = 0").select(F.col("day").alias("slice")).distinct()).filter("slice is not null")
 
 
 _DAYS = 5
