@@ -95,20 +95,21 @@ _LOWER[65:91] += 32
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
-    """(first row, row offsets, bytes) of runs of rows with about ``limit`` bytes; a null is empty."""
+    """(first row, row offsets, bytes) of runs of rows with about ``limit`` bytes; a null is empty.
+    Only a run at a time is copied."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        yield i, off[i : j + 1] - off[i], raw[off[i] : off[j]]
-        i = j
+    rows = max(1, limit // 4096)
+    for first in range(0, len(column), rows):
+        part = column.slice(first, rows).cast(pa.large_string()).fill_null("")
+        _, offsets, data = part.buffers()
+        off = np.frombuffer(offsets, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(part):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            yield first + i, off[i : j + 1] - off[i], raw[off[i] : off[j]]
+            i = j
 
 
 def word_spans(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,13 +7,14 @@
 2. Documents with identical sets are one member; members with identical prefixes
    and size collapse into one group. Only shingles in the prefixes of two
    groups or more make blocks.
-3. Pairs of groups in a block pass the size and position filters, expand to
-   pairs of members and are verified on whole sets.
+3. Pairs of groups in a block pass the size and position filters and a parity filter (256 bits a set: the
+   bits in which two differ bound their symmetric difference from below), all inside the join's
+   condition; then they expand to pairs of members and are verified on whole sets.
 4. A dense block would give every pair of its members. So each block first pairs
    all of it with one hub; whatever the verified links already connect
    needs no further test, since it can't change a class. Blocks that still hold
-   more than one class go through more hubs, and at last all pairs across
-   classes. No link that joins two classes is lost and no cap is used.
+   more than one class then pair across classes. No link that joins two
+   classes is lost and no cap is used.
 """
 
 from __future__ import annotations
@@ -128,16 +129,23 @@ def _need(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-_SETS = "doc_id long, n long, sig1 long, sig2 long, prefix_sig long, prefix array<long>"
+BITS = ("b0", "b1", "b2", "b3")
+_SETS = "doc_id long, n long, sig1 long, sig2 long, prefix_sig long, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: for each of 256 hash classes, whether a set has an odd number of its members."""
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: np.ndarray) -> DataFrame:
     """Size, identity (two 64-bit sums) and ordered prefix of each document's set."""
-    schema = pa.schema([("doc_id", pa.int64()), *[(x, pa.int64()) for x in ("n", "sig1", "sig2", "prefix_sig")], ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), *[(x, pa.int64()) for x in ("n", "sig1", "sig2", "prefix_sig", *BITS)], ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig1, sig2, psig, out, ends = [], [], [], [], [], [0]
+            size, sig1, sig2, psig, out, ends, bits = [], [], [], [], [], [0], []
             for _, s in shingle_sets(batch.column(1), k):
                 n = len(s)
                 p = n - -(-percent * n // 100) + 1 if n else 0
@@ -153,20 +161,23 @@ def prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: np
                 sig1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                 sig2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                 psig.append(int(mix(head).sum(dtype=np.uint64).view(np.int64)) if n else 0)
+                bits.append(parity(s))
                 out.append(head)
                 ends.append(ends[-1] + len(head))
             flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (size, sig1, sig2, psig)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (size, sig1, sig2, psig)], *[pa.array([b[i] for b in bits], pa.int64()) for i in range(4)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
 
 
 def _compatible(a: str, b: str, percent: int):
-    """Size and position filters on columns {x}n and {x}pos of two sides: enough sizes, and
-    as many shingles from the shared one on as a link needs."""
+    """Filters on columns {x}n, {x}pos and {x}b0 to {x}b3 of two sides: like sizes, as many shingles
+    from the shared one on as a link needs, and no more parities apart than it allows."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
+    differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS), F.lit(0))
+    near = F.coalesce(differ <= na + nb - 2 * need, F.lit(True))  # null: a group of several members
+    return near & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -199,7 +210,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return links
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 4) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 1) -> DataFrame:
     """Classes of documents under links of Jaccard similarity ``percent`` / 100 or more of ``k``-word shingle sets.
 
     A-Z are lower-cased, words are runs of anything but ASCII white space; a text of
@@ -217,7 +228,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     known = sets.filter("n > 0 and doc_id is not null")
     members = keep(known.groupBy("n", "prefix_sig", "sig1", "sig2").agg(F.min("doc_id").alias("member")), "members")
     by_group = members.groupBy("n", "prefix_sig").agg(F.min("member").alias("g"), F.count("*").alias("size"))
-    groups = keep(by_group.join(known.select(F.col("doc_id").alias("g"), "n", "prefix_sig", "prefix"), ["g", "n", "prefix_sig"]), "groups")
+    lead = known.select(F.col("doc_id").alias("g"), "n", "prefix_sig", "prefix", *BITS)
+    groups = by_group.join(lead, ["g", "n", "prefix_sig"]).dropDuplicates(["g"])
+    groups = keep(groups.withColumns({x: F.when(F.col("size") == 1, F.col(x)) for x in BITS}), "groups")
     in_group = keep(members.join(groups.select("n", "prefix_sig", "g", "size"), ["n", "prefix_sig"]).select("member", "g", "size"), "in-group")
 
     # shingles in the prefixes of two groups or more, by the packed count; groups of several members pair inside themselves
@@ -228,8 +241,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
 
     buckets = max(4, -(-text_bytes // (4 * BUCKET_BYTES)))
     shared = keep(_counts(groups.select("prefix").mapInArrow(_count_map(heads, 1 << 64, buckets), "bucket int, vals binary, counts binary"), 2), "shared-shingles")
-    tokens = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
     rows = keep(tokens.join(shared.select(F.col("value").alias("token")), "token"), "blocks")
+    facts = groups.select("g", "n", *BITS)
     inner = in_group.filter((F.col("size") > 1) & (F.col("member") != F.col("g"))).select(F.col("g").alias("a"), F.col("member").alias("b"))
 
     mixed = not in_group.filter("size > 1").isEmpty()
@@ -241,18 +255,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
         spread = in_group.join(comp.withColumnRenamed("node", "member"), "member").groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         labelled = rows.join(spread, "g")
         open_blocks = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo < _hi").select("token")
-        live = keep(labelled.join(open_blocks, "token"), f"live{turn}")
+        live = keep(labelled.join(open_blocks, "token").join(facts, "g"), f"live{turn}")
         if live.isEmpty() and not mixed:
             break
         if turn < hub_rounds:
             # the hub of a block: of the classes in it that no earlier turn took, the member with the fewest rare shingles before this one
-            hub_of = live.groupBy("token", "lo").agg(F.min(F.struct("pos", "n", "g")).alias("h"))
-            pick = hub_of.groupBy("token").agg(F.min(F.struct(F.col("h.pos").alias("pos"), F.col("h.n").alias("n"), F.col("h.g").alias("g"), F.col("lo"))).alias("h")) if turn == 0 else _nth_hub(hub_of, turn)
-            sides = live.join(pick, "token").select(F.col("g").alias("bg"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("h.g").alias("ag"), F.col("h.n").alias("an"), F.col("h.pos").alias("apos"), F.col("h.lo").alias("alo"))
+            hub_of = live.groupBy("token", "lo").agg(F.min(F.struct("pos", "n", "g", "lo", *BITS)).alias("h"))
+            pick = hub_of.groupBy("token").agg(F.min("h").alias("h")) if turn == 0 else _nth_hub(hub_of, turn)
+            sides = live.join(pick, "token").select(F.col("g").alias("bg"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), *[F.col(x).alias(f"b{x}") for x in BITS], F.col("h.g").alias("ag"), F.col("h.n").alias("an"), F.col("h.pos").alias("apos"), F.col("h.lo").alias("alo"), *[F.col(f"h.{x}").alias(f"a{x}") for x in BITS])
             apart = (F.col("ag") != F.col("bg")) & ((F.col("alo") != F.col("blo")) | (F.col("blo") != F.col("bhi")))
         else:
-            x = live.select("token", *[F.col(c).alias(f"a{c}") for c in ("g", "n", "pos", "lo", "hi")])
-            y = live.select("token", *[F.col(c).alias(f"b{c}") for c in ("g", "n", "pos", "lo", "hi")])
+            x = live.select("token", *[F.col(c).alias(f"a{c}") for c in ("g", "n", "pos", "lo", "hi", *BITS)])
+            y = live.select("token", *[F.col(c).alias(f"b{c}") for c in ("g", "n", "pos", "lo", "hi", *BITS)])
             sides = x.join(y, "token")
             apart = (F.col("ag") < F.col("bg")) & ((F.col("alo") != F.col("blo")) | (F.col("alo") != F.col("ahi")) | (F.col("blo") != F.col("bhi")))
         found = sides.filter(apart & _compatible("a", "b", percent)).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb")).distinct()
@@ -277,11 +291,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
         comp = min_label_components(members.select(F.col("member").alias("node")), links)
     of = members.join(comp.withColumnRenamed("node", "member"), "member").select("n", "prefix_sig", "sig1", "sig2", "comp")
     whole = sets.join(of, ["n", "prefix_sig", "sig1", "sig2"], "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _nth_hub(hub_of: DataFrame, turn: int) -> DataFrame:
     """The hub of the class that is ``turn``-th in its block, or of the last."""
     order = Window.partitionBy("token").orderBy("h.pos", "h.n", "h.g")
     numbered = hub_of.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= turn + 1)
-    return numbered.groupBy("token").agg(F.max_by(F.struct(F.col("h.pos").alias("pos"), F.col("h.n").alias("n"), F.col("h.g").alias("g"), F.col("lo")), "_r").alias("h"))
+    return numbered.groupBy("token").agg(F.max_by("h", "_r").alias("h"))
