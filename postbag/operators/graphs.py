@@ -261,7 +261,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds:
         joined = base.join(moved, "id", "left").select("id", "v", F.coalesce("m", F.lit(0.0)).alias("m"))
         total = joined.agg(F.sum("m").alias("t"))
         new = joined.join(F.broadcast(total)).select("id", (alpha * F.col("m") + F.col("v") * (1 - alpha * F.col("t"))).alias("rank"))  # one row
-        if turn % 5 == 4 or turn == rounds - 1:
+        if turn % 2 or turn == rounds - 1:
             new = cut(new)
             if tol and rank.join(new.withColumnRenamed("rank", "r"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("r")))).first()[0] < tol:
                 return new

@@ -90,31 +90,30 @@ def multislice(tedges: DataFrame, gamma: float = 1.0, omega: float = 0.5) -> Dat
     return inside.select(F.col("t").alias("t1"), "i", F.col("t").alias("t2"), "j", "w").union(link)
 
 
-def communicability(tedges: DataFrame, vertices: DataFrame, a: float = 0.02, terms: int = 8, every: int = 3) -> DataFrame:
+def communicability(tedges: DataFrame, vertices: DataFrame, a: float = 0.02, terms: int = 8) -> DataFrame:
     """id, broadcast, receive: row and column sums of the product of (I - a A_t)^-1 over ascending days.
 
     Only vectors are carried: each inverse acts by ``terms`` terms of its series (a times the largest degree must be
-    under 1), from the last day back for broadcast and from the first on for receive."""
+    under 1), from the last day back for broadcast and from the first on for receive. The series is nested,
+    y = x + a A (x + a A (...)), so a day's plan has one join a term."""
     days = [r.day for r in tedges.select("day").distinct().orderBy("day").collect()]  # a row a day
     tedges = cut(tedges)
 
     def solve(x: DataFrame, day, forward: bool) -> DataFrame:
         e = tedges.filter(F.col("day") == F.lit(day))
         to, at = ("dst", "src") if forward else ("src", "dst")
-        term, total = x, x
+        y = x
         for _ in range(terms):
-            term = e.join(term, e[at] == term.id).groupBy(F.col(to).alias("id")).agg((a * F.sum(F.col("w") * F.col("v"))).alias("v"))
-            total = total.union(term)
-        return total.groupBy("id").agg(F.sum("v").alias("v"))
+            moved = e.join(y, e[at] == y.id).select(F.col(to).alias("id"), (a * F.col("w") * F.col("v")).alias("v"))
+            y = x.union(moved).groupBy("id").agg(F.sum("v").alias("v"))
+        return cut(y)
 
     out = {}
     for name, order, forward in (("broadcast", reversed(days), False), ("receive", days, True)):
-        x = vertices.select("id", F.lit(1.0).alias("v"))
-        for i, day in enumerate(order):
+        x = cut(vertices.select("id", F.lit(1.0).alias("v")))
+        for day in order:
             x = solve(x, day, forward)
-            if i % every == every - 1:
-                x = cut(x)
-        out[name] = cut(x)
+        out[name] = x
     return out["broadcast"].withColumnRenamed("v", "broadcast").join(out["receive"].withColumnRenamed("v", "receive"), "id")
 
 
