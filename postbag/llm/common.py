@@ -3,6 +3,7 @@ hashing of words and shingles over Arrow buffers, and the cached word encoder.""
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -174,6 +175,40 @@ def shingle_sets(column: pa.Array, k: int, lower: bool = True):
                 yield row + i, window_hashes(words[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
+# ------------------------------------------------------------- worker memory
+_CACHES: list = []
+
+
+def cached_in_worker(function):
+    """A cache of vocabularies in a worker process, which ``lean`` can drop."""
+    kept = functools.lru_cache(maxsize=4)(function)
+    _CACHES.append(kept)
+    return kept
+
+
+def lean(run):
+    """For functions over batches that need no vocabulary: drop those that earlier work left in a reused
+    worker, and give freed memory back to the system before and after."""
+
+    @functools.wraps(run)
+    def leaner(batches):
+        for kept in _CACHES:
+            kept.cache_clear()
+        _trim()
+        yield from run(batches)
+        _trim()
+
+    return leaner
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ------------------------------------------------------------- word encoding
 @functools.lru_cache(maxsize=1)
 def _byte_letters() -> dict[int, str]:
@@ -193,7 +228,7 @@ class ChunkCache:
 
     folded = False  # ASCII capitals fold, and a letter's final mark stands alone
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self._reset()
 
@@ -285,7 +320,7 @@ class WordEncoder(ChunkCache):
     skips only the normaliser and splitter (both leave it one lower-case run).
     ``plain``: the strings of special tokens are ordinary text, so no text holds a special id."""
 
-    def __init__(self, path: str, limit: int = 2_000_000, plain: bool = False):
+    def __init__(self, path: str, limit: int = 1_000_000, plain: bool = False):
         super().__init__(limit)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -324,7 +359,7 @@ class WordEncoder(ChunkCache):
                 yield np.array(self.tok.encode(text.as_py() or "", add_special_tokens=False).ids, np.uint32)
 
 
-@functools.lru_cache(maxsize=4)
+@cached_in_worker
 def word_encoder(path: str, plain: bool = False) -> WordEncoder:
     """One encoder a worker process and vocabulary; Spark reuses its workers."""
     return WordEncoder(path, plain=plain)

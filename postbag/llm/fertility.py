@@ -7,7 +7,6 @@ outside one of them is rejected. Cheap base rules on words and lines come first.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, text_slices, window_hashes, word_hashes, word_spans
+from .common import ChunkCache, cached_in_worker, text_slices, window_hashes, word_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -71,7 +70,7 @@ class PieceCounter(ChunkCache):
         return self.sp.encode(chunks, num_threads=1)
 
 
-@functools.lru_cache(maxsize=2)
+@cached_in_worker
 def piece_counter(model: str) -> PieceCounter:
     return PieceCounter(model)
 

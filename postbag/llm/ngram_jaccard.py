@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep, mix, shingle_sets
+from .common import discard, keep, lean, mix, shingle_sets
 from .components import min_label_components
 
 #: Shingles of at least this many documents may be ordered last; the table of them holds at most HOT_LIMIT.
@@ -69,13 +69,13 @@ def _count_map(arrays, span: int, buckets: int):
             for s in arrays(batch):
                 held.append(s)
                 n += len(s)
-                if n >= 3_000_000:
+                if n >= 1_500_000:
                     yield from flush()
                     held, n = [], 0
         if held:
             yield from flush()
 
-    return run
+    return lean(run)
 
 
 def _counts(packed: DataFrame, least: int) -> DataFrame:
@@ -167,7 +167,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: np
             flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (size, sig1, sig2, psig)], *[pa.array([b[i] for b in bits], pa.int64()) for i in range(4)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), _SETS)
 
 
 def _compatible(a: str, b: str, percent: int):
@@ -190,7 +190,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in shingle_sets(batch.column(1), k)], pa.binary())], schema=schema)
 
-    held = keep(docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").cast("string")).mapInArrow(sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
+    held = keep(docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").cast("string")).mapInArrow(lean(sets), "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
     left = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(held.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -205,7 +205,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 good.append(100 * o >= percent * (len(s) + len(t) - o))
             yield pa.RecordBatch.from_pydict({"a": [i for i, g in zip(a, good, strict=True) if g], "b": [i for i, g in zip(b, good, strict=True) if g]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    links = keep(both.mapInArrow(test, "a long, b long"), "links")
+    links = keep(both.mapInArrow(lean(test), "a long, b long"), "links")
     discard(spark, held)
     return links
 
@@ -239,7 +239,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
         if len(column):
             yield np.sort(column.flatten().to_numpy().view(np.uint64))
 
-    buckets = max(4, -(-text_bytes // (4 * BUCKET_BYTES)))
+    buckets = max(4, -(-text_bytes // (2 * BUCKET_BYTES)))
     shared = keep(_counts(groups.select("prefix").mapInArrow(_count_map(heads, 1 << 64, buckets), "bucket int, vals binary, counts binary"), 2), "shared-shingles")
     tokens = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
     rows = keep(tokens.join(shared.select(F.col("value").alias("token")), "token"), "blocks")
