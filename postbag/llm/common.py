@@ -180,10 +180,20 @@ _CACHES: list = []
 
 
 def cached_in_worker(function):
-    """A cache of vocabularies in a worker process, which ``lean`` can drop."""
-    kept = functools.lru_cache(maxsize=4)(function)
+    """A cache of one vocabulary in a worker process: another kind's goes before this one is loaded."""
+    kept = functools.lru_cache(maxsize=1)(function)
     _CACHES.append(kept)
-    return kept
+
+    @functools.wraps(function)
+    def only(*args, **options):
+        others = [x for x in _CACHES if x is not kept and x.cache_info().currsize]
+        for x in others:
+            x.cache_clear()
+        if others:
+            _trim()
+        return kept(*args, **options)
+
+    return only
 
 
 def lean(run):
@@ -228,7 +238,7 @@ class ChunkCache:
 
     folded = False  # ASCII capitals fold, and a letter's final mark stands alone
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 600_000):
         self.limit = limit
         self._reset()
 
@@ -320,7 +330,7 @@ class WordEncoder(ChunkCache):
     skips only the normaliser and splitter (both leave it one lower-case run).
     ``plain``: the strings of special tokens are ordinary text, so no text holds a special id."""
 
-    def __init__(self, path: str, limit: int = 1_000_000, plain: bool = False):
+    def __init__(self, path: str, limit: int = 600_000, plain: bool = False):
         super().__init__(limit)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
