@@ -202,15 +202,20 @@ def lean(run):
 
     @functools.wraps(run)
     def leaner(batches):
-        for kept in _CACHES:
-            kept.cache_clear()
-        _trim()
+        _drop_vocabularies()
         yield from run(batches)
         _trim()
 
     return leaner
 
 
+def _drop_vocabularies() -> None:
+    # a function of the module, as the caches themselves can't be sent to workers
+    for kept in _CACHES:
+        kept.cache_clear()
+    _trim()
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     try:

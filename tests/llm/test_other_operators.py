@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import zlib
@@ -171,6 +172,18 @@ def test_quality_rules(spark):
     assert fertility.quality(spark.createDataFrame([], SCHEMA), vocabulary(PIECES)).collect() == []
 
 
+def test_bands_reject_what_the_labels_call_poor(spark):
+    at = "/root/testdata/sf0.1"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{at}/documents.parquet").filter("doc_id % 2 = 1")  # the bands were fitted on the even ones
+    judged = fertility.quality(docs, vocabulary(PIECES), keep_columns=("doc_id", "lang")).filter("not base_failed")
+    rows = judged.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("gone")).collect()
+    gone = {(r.lang, r.quality): r.gone / r.n for r in rows}
+    assert gone["en", 0] > 0.9 and gone["de", 0] > 0.9 and gone["fr", 0] > 0.4 and gone["es", 0] > 0.2
+    assert all(gone[x, 1] < 0.05 for x in ("en", "de", "fr", "es"))
+
+
 # ------------------------------------------------------------------------ WARC
 def test_warc_round_trip(spark):
     rows = [(i, f"http://x/{i}", f"<p>{'abc ' * (i % 7)}{i % 5} é</p>") for i in range(200)] + [(300, None, None), (301, "http://y", ""), (None, "http://z", "<p>lone</p>"), (302, "a\r\nb", "<p>\r\n\r\n</p>")]
