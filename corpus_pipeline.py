@@ -31,18 +31,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix draws them: a row a draw, so a document can come up to three
-    times, or not at all if its source's quota ends before it; the one document at which a quota
-    ends has only its first words."""
+    """Documents as the shards of the mix draw them, each shard's draws in its own random order:
+    a row a draw, so a document can come up to three times, or not at all if its source's quota ends
+    before it; one across the end of a shard's range is cut there, and one at which a quota ends has only its first words."""
     _, draws = mixing.mix_sources(docs)
-    words = draws.select("doc_id", F.col("pass"), "words")
-    joined = docs.join(words, "doc_id")
+    joined = mixing.shuffle_locally(docs.join(draws.drop("source"), "doc_id"))
     whole = F.col("words") == mixing.word_count(F.col("text"))
     # each piece is a word with the white space before it
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(whole, F.col("text")).otherwise(cut)
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+    cut = F.array_join(F.slice(pieces, (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")), "")
+    return joined.withColumns({"text": F.when(whole, F.col("text")).otherwise(cut), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(cut))}).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,46 +78,50 @@ def _wide(rng, good: int, bad: int, draw: int) -> int:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, block_words: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Mix ``doc_id, source, text``. Returns the documents (doc_id, source,
     size, source_size, target, taken) and the draws: doc_id, source, pass,
-    first_word and words (the span that the pass takes), shard and place.
-
-    ``taken`` is how many of a document's words all passes take: whole documents
-    in each pass, but for the one at which a source's last pass ends, of which
-    it takes the first words. So the words of a source add up to its target
-    to the nearest whole number, and none is taken over ``most`` times. The order
-    is by a hash of seed and doc_id: reruns agree, whatever the partitions.
+    first_word and words (the span of the document's words), shard and place.
+
+    A source's passes lie end to end and are cut into blocks; the last block ends
+    with the quota, the target to the nearest whole number. Each shard owns a range of
+    a source's blocks, as many as the splitting tree gives it, and draws the words in them:
+    a document across the end of a range is cut there and goes to both shards.
+    ``taken`` is how many words all draws of a document have, at most ``most`` times its size.
+    The order is by a hash of seed and doc_id: reruns agree, whatever the partitions.
     A null text has no words and takes 0; a null source is a source of its own,
     last. Repeated rows count each. Sources without words get target 0. An empty
     table gives empty results. Other columns are not read."""
     spark = docs.sparkSession
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("_key")), "sizes")
-    targets = keep(source_targets(sized, weights, most), "targets")
+    targets = keep(source_targets(sized, weights, most).withColumn("_quota", F.round("target").cast("long")), "targets")
     rows = sized.count()
     digits = 0
     while 16**digits * 4000 < rows:
         digits += 1
     laid = running_base(sized, ["source"], F.substring("_key", 1, digits), ["_key", "doc_id", "size"], F.col("size"), "_start")
-    placed = laid.alias("a").join(F.broadcast(targets.alias("b")) if targets.count() <= 10_000 else targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target")
-    quota = F.round("target").cast("long")
-    taken = F.lit(0).cast("long")
-    spans = []
-    for p in range(most):
-        words = F.greatest(F.lit(0), F.least(quota - F.col("source_size") * p - F.col("_start"), F.col("size")))
-        taken = taken + words
-        spans.append(F.struct(F.lit(p).alias("pass"), words.alias("words")))
-    done = placed.withColumns({"taken": taken.cast("long"), "_spans": F.array(*spans)})
-    # blocks of all passes in a row; a shard's range of them comes from the splitting tree
     order = F.asc_nulls_last(F.col("source").cast("binary"))
-    sources = [(r["source"], r["source_size"], r["target"]) for r in targets.orderBy(order).collect()]  # a row a source
-    quotas = [-(-round(t) // block_words) for _, _, t in sources]
-    ends = np.cumsum(np.array(split_quotas(quotas, shards, seed)).reshape(shards, len(sources)), axis=0)
-    ranges = spark.createDataFrame([(s, [int(e) for e in ends[:, i]]) for i, (s, _, _) in enumerate(sources)], "source string, _ends array<long>")
-    draws = done.select("doc_id", "source", "_key", "_start", "source_size", F.explode("_spans").alias("_s")).filter("_s.words > 0")
-    draws = draws.alias("a").join(F.broadcast(ranges.alias("b")), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b._ends")
-    block = F.floor((F.col("_s.pass") * F.col("source_size") + F.col("_start")) / block_words)
-    shard = F.size(F.filter("_ends", lambda e: e <= block))
-    draws = draws.select("doc_id", "source", F.col("_s.pass").alias("pass"), F.lit(0).alias("first_word"), F.col("_s.words").alias("words"), shard.alias("shard"), F.xxhash64("_key", "_s.pass", F.lit(seed)).alias("place"))
-    return done.drop("_spans", "_key", "_start"), draws
+    sources = targets.orderBy(order).collect()  # a row a source
+    blocks = np.cumsum(np.array(split_quotas([-(-r["_quota"] // block_words) for r in sources], shards, seed), dtype=np.int64).reshape(shards, len(sources)), axis=0)
+    # the words at which the ranges of shards end
+    ends = [(r["source"], r["source_size"], r["target"], [0, *(min(int(b) * block_words, r["_quota"]) for b in blocks[:, i])]) for i, r in enumerate(sources)]
+    ranges = spark.createDataFrame(ends, "source string, source_size long, target double, _ends array<long>").alias("b")
+    placed = laid.alias("a").join(F.broadcast(ranges) if len(sources) <= 10_000 else ranges, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", "b._ends")
+
+    def spans(p: int) -> Column:
+        begin = F.col("source_size") * p + F.col("_start")
+
+        def span(s: int) -> Column:
+            a = F.greatest(F.element_at("_ends", s + 1), begin)
+            b = F.least(F.element_at("_ends", s + 2), begin + F.col("size"))
+            return F.struct(F.lit(p).alias("pass"), (a - begin).alias("first_word"), (b - a).alias("words"), F.lit(s).alias("shard"))
+
+        return F.filter(F.array(*map(span, range(shards))), lambda x: x["words"] > 0)
+
+    taken = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    done = placed.withColumn("_spans", F.concat(*map(spans, range(most)))).withColumn("taken", taken)
+    draws = done.select("doc_id", "source", "_key", F.explode("_spans").alias("_s"))
+    place = F.xxhash64("_key", "_s.pass", "_s.first_word", F.lit(seed))
+    draws = draws.select("doc_id", "source", "_s.pass", "_s.first_word", "_s.words", "_s.shard", place.alias("place"))
+    return done.drop("_spans", "_key", "_start", "_ends"), draws
 
 
 def shuffle_locally(draws: DataFrame) -> DataFrame:

@@ -326,6 +326,36 @@ def test_mixing_of_odd_tables(spark):
     assert [g[:2] for g in got] == [(1, 0), (2, 2), (2, 2), (3, 0)] and sum(g[2] for g in got) == 4
 
 
+def test_shards_draw_the_quotas_of_the_tree(spark, monkeypatch):
+    rows = [r for r in documents(n=100) if r[3] is not None]
+    mixed, draws = mixing.mix_sources(frame(spark, rows), block_words=64)
+    got, drawn = mixed.collect(), draws.collect()
+    sources = sorted({r.source for r in got}, key=str.encode)
+    quota = {r.source: math.floor(r.target + 0.5) for r in got}
+    tree = mixing.split_quotas([-(-quota[s] // 64) for s in sources], 16, 0)
+    words_ = Counter()
+    for d in drawn:
+        words_[d.shard, d.source] += d.words
+    for i, s in enumerate(sources):
+        done = 0
+        for shard in range(16):
+            end = min(64 * sum(t[i] for t in tree[: shard + 1]), quota[s])
+            assert words_[shard, s] == end - done
+            done = end
+        assert done == quota[s]
+    assert any(d.first_word > 0 for d in drawn)
+    spans = defaultdict(list)
+    for d in drawn:
+        spans[d.doc_id, d["pass"]].append((d.first_word, d.words))
+    for (doc_id, _), own in spans.items():  # one after the other, from the first word
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))], doc_id
+    # other quotas of the same shape give other results
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: [[0] * len(quotas)] * (shards - 1) + [[q // 2 for q in quotas]])
+    less = {r.doc_id: r.taken for r in mixing.mix_sources(frame(spark, rows), block_words=64)[0].collect()}
+    assert sum(less.values()) < 0.7 * sum(r.taken for r in got)
+
+
 def test_quotas_split_exactly_and_evenly():
     for seed in range(5):
         quotas = [13, 5, 0, 220, 7]
