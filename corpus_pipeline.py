@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postbag.llm import fertility, mixing, ngram_jaccard, packing
-from postbag.llm.common import keep
+from postbag.llm.common import ROW, keep, with_row_keys
 from postbag.llm.queries import PIECES, WORDS, table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,19 +23,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five words, similarity 0.8): the one with the
-    smallest doc_id, which is the class's name; of repeated rows of it, one."""
-    classes = ngram_jaccard.jaccard_classes(docs, k=5, percent=80)
-    first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each class of near copies (five words, similarity 0.8): the one with the
+    smallest doc_id, a row without one only if none has; of rows with the same doc_id in a class, one.
+    Links are between rows, so doc_ids may be null or repeated."""
+    rows = with_row_keys(docs, "near-duplicate-rows")
+    classes = ngram_jaccard.jaccard_classes(rows.select(F.col(ROW).alias("doc_id"), "text"), k=5, percent=80)
+    ids = rows.select(F.col(ROW).alias("_r"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(ROW)).alias("_order"))
+    first = classes.join(ids, F.col("doc_id") == F.col("_r")).select("component_id", "_order", "_r")
+    first = first.groupBy("component_id").agg(F.min_by("_r", "_order").alias(ROW))
+    return rows.join(first, ROW, "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the shards of the mix draw them, each shard's draws in its own random order:
     a row a draw, so a document can come up to three times, or not at all if its source's quota ends
     before it; one across the end of a shard's range is cut there, and one at which a quota ends has only its first words."""
-    _, draws = mixing.mix_sources(docs)
-    joined = mixing.shuffle_locally(docs.join(draws.drop("source"), "doc_id"))
+    rows = with_row_keys(docs, "mixing-rows")
+    _, draws = mixing.mix_sources(rows)
+    joined = mixing.shuffle_locally(rows.join(draws.drop("doc_id", "source"), ROW))
     whole = F.col("words") == mixing.word_count(F.col("text"))
     # each piece is a word with the white space before it
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, as Java, RE2 and Python regular expressions all read it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +56,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Name of the column that tells rows apart, whatever their doc_id.
+ROW = "_row_key"
+
+
+def with_row_keys(df: DataFrame, name: str) -> DataFrame:
+    """``df`` and a distinct number for each row, kept so that every reading gives the same ones."""
+    return keep(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files of a table made by ``keep`` that nothing reads any more."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep
+from .common import ROW, WORD, keep
 from .ranks import running_base
 
 
@@ -88,16 +88,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     The order is by a hash of seed and doc_id: reruns agree, whatever the partitions.
     A null text has no words and takes 0; a null source is a source of its own,
     last. Repeated rows count each. Sources without words get target 0. An empty
-    table gives empty results. Other columns are not read."""
+    table gives empty results. Draws of docs that have row keys (``with_row_keys``) have them too.
+    Other columns are not read."""
     spark = docs.sparkSession
+    row = [ROW] if ROW in docs.columns else []
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("_key")), "sizes")
+    sized = keep(docs.select(*row, F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("_key"), F.xxhash64("text").alias("_text_key")), "sizes")
     targets = keep(source_targets(sized, weights, most).withColumn("_quota", F.round("target").cast("long")), "targets")
     rows = sized.count()
     digits = 0
     while 16**digits * 4000 < rows:
         digits += 1
-    laid = running_base(sized, ["source"], F.substring("_key", 1, digits), ["_key", "doc_id", "size"], F.col("size"), "_start")
+    laid = running_base(sized, ["source"], F.substring("_key", 1, digits), ["_key", "doc_id", "size", "_text_key", *row], F.col("size"), "_start")
     order = F.asc_nulls_last(F.col("source").cast("binary"))
     sources = targets.orderBy(order).collect()  # a row a source
     blocks = np.cumsum(np.array(split_quotas([-(-r["_quota"] // block_words) for r in sources], shards, seed), dtype=np.int64).reshape(shards, len(sources)), axis=0)
@@ -118,10 +120,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
     taken = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["words"])
     done = placed.withColumn("_spans", F.concat(*map(spans, range(most)))).withColumn("taken", taken)
-    draws = done.select("doc_id", "source", "_key", F.explode("_spans").alias("_s"))
-    place = F.xxhash64("_key", "_s.pass", "_s.first_word", F.lit(seed))
-    draws = draws.select("doc_id", "source", "_s.pass", "_s.first_word", "_s.words", "_s.shard", place.alias("place"))
-    return done.drop("_spans", "_key", "_start", "_ends"), draws
+    draws = done.select(*row, "doc_id", "source", "_key", "_text_key", F.explode("_spans").alias("_s"))
+    place = F.xxhash64("_key", "_text_key", "_s.pass", "_s.first_word", F.lit(seed))
+    draws = draws.select(*row, "doc_id", "source", "_s.pass", "_s.first_word", "_s.words", "_s.shard", place.alias("place"))
+    return done.drop("_spans", "_key", "_text_key", "_start", "_ends", *row), draws
 
 
 def shuffle_locally(draws: DataFrame) -> DataFrame:

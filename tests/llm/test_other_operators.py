@@ -393,6 +393,37 @@ def test_pipeline_stages(spark):
     assert [f.name for f in left.schema] == list(p.COLUMNS) and p.STAGES[-1][1] is p.packing_stage
 
 
+def test_pipeline_stages_keep_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    a, b, c, d, e = (prose(rng, 400) for _ in range(5))
+    rows = [(i, t, "en", s, len(t)) for i, t, s in [(None, a, "x"), (None, b, "x"), (7, c, "x"), (7, c, "x"), (7, c, "x"), (7, d, "y"), (None, c, "y"), (9, e, None), (9, e, None)]]
+    docs = spark.createDataFrame(rows, frame(spark, []).select(*p.COLUMNS).schema).repartition(3)
+    kept = p.quality_stage(spark, docs, "").collect()
+    assert Counter(map(tuple, kept)) == Counter(rows)
+    singles = p.near_duplicate_stage(spark, docs, "").collect()
+    assert Counter(map(tuple, singles)) == Counter([rows[0], rows[1], rows[2], rows[5], rows[7]])
+    # all rows, so that ids repeat
+    mixed = p.mixing_stage(spark, docs, "").collect()
+    sizes, drawn = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    for r in mixed:
+        drawn[r.source] += len(words(r.text))
+    want = reshared(sizes, (1, 2, 3), 3)
+    assert all(abs(drawn[s] - want[s]) <= 1 for s in sizes)
+    of = Counter((r[0], r[3], t) for r in rows for t in [r[1]])
+    for (i, s, t), n in of.items():
+        got = sum(len(words(r.text)) for r in mixed if (r.doc_id, r.source) == (i, s) and " ".join(words(r.text)) in " ".join(words(t)))
+        assert got <= 3 * n * len(words(t))
+    pieces = p.packing_stage(spark, docs, "").collect()
+    whole = Counter()
+    for x in pieces:
+        whole[x.doc_id] += x.start == 0
+    assert whole == Counter(r[0] for r in rows)
+
+
 def test_whole_pipeline_runs(spark, data):
     import corpus_pipeline as p
 
