@@ -219,6 +219,19 @@ def lean(run):
     return leaner
 
 
+def lean_group(run):
+    """``lean`` for a function of a group's whole table."""
+
+    @functools.wraps(run)
+    def leaner(table: pa.Table) -> pa.Table:
+        _drop_vocabularies()
+        out = run(table)
+        _trim()
+        return out
+
+    return leaner
+
+
 def _drop_vocabularies() -> None:
     # a function of the module, as the caches themselves can't be sent to workers
     for kept in _CACHES:

@@ -13,8 +13,10 @@
 4. A dense block would give every pair of its members. So each block first pairs
    all of it with one hub; whatever the verified links already connect
    needs no further test, since it can't change a class. Blocks that still hold
-   more than one class then pair across classes. No link that joins two
+   more than one class then pair across classes, large ones in tiles. No link that joins two
    classes is lost and no cap is used.
+5. Links lie inside classes, so each member's links are counted there, on whole sets: a class that is large is cut
+   into tiles, and a task multiplies the 0/1 matrices of a tile's two sides and sends on a count a member, never pairs.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep, lean, mix, shingle_sets
+from .common import discard, keep, lean, lean_group, mix, shingle_sets
 from .components import min_label_components
 
 #: Shingles of at least this many documents may be ordered last; the table of them holds at most HOT_LIMIT.
 HOT_LEAST, HOT_LIMIT = 8, 1 << 18
 #: Text bytes that one bucket of the count of shingles stands for.
 BUCKET_BYTES = 24 << 20
+#: Groups on a side of a tile of a block; shingles and sets on a side of a tile of a class.
+TILE_GROUPS, TILE_SHINGLES, TILE_SETS = 4000, 250_000, 1500
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -124,15 +128,17 @@ def shingle_order(docs: DataFrame, k: int, text_bytes: int) -> tuple[np.ndarray,
     return v[order], rows["c"].to_numpy().astype(np.uint8)[order]
 
 
-def _need(a: int, b: int, percent: int) -> int:
-    """Least overlap of sets of sizes a and b at ``percent``: 100 * o >= percent * (a + b - o)."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 BITS = ("b0", "b1", "b2", "b3")
 _SETS = "doc_id long, n long, sig1 long, sig2 long, prefix_sig long, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
 
 
+def sums(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that identify a set, with its size."""
+    if not len(s):
+        return 0, 0
+    return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (s, s ^ np.uint64(0x5851F42D4C957F2D)))
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """Four 64-bit words: for each of 256 hash classes, whether a set has an odd number of its members."""
     odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
@@ -158,8 +164,9 @@ def prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: np
                         rank = np.where(often, classes[at], 0)
                         head = s[np.argsort(rank, kind="stable")][:p]
                 size.append(n)
-                sig1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-                sig2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
+                one, two = sums(s)
+                sig1.append(one)
+                sig2.append(two)
                 psig.append(int(mix(head).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                 bits.append(parity(s))
                 out.append(head)
@@ -180,19 +187,28 @@ def _compatible(a: str, b: str, percent: int):
     return near & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole sets are similar enough."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+def _sets_of(wanted: DataFrame, docs: DataFrame, k: int, name: str) -> DataFrame:
+    """member, items: the whole sets of ``wanted`` (member, rep, sig1, sig2), kept. A doc_id may have several texts, so the
+    sums tell which of them is meant."""
+    schema = pa.schema([("member", pa.int64()), ("items", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in shingle_sets(batch.column(1), k)], pa.binary())], schema=schema)
+            out: tuple[list, list] = ([], [])
+            for (_, s), member, one, two in zip(shingle_sets(batch.column(0), k), *[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                if sums(s) == (one, two):
+                    out[0].append(member)
+                    out[1].append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], schema=schema)
 
-    held = keep(docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.col("text").cast("string")).mapInArrow(lean(sets), "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
-    left = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(held.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "member", "sig1", "sig2")
+    return keep(texts.mapInArrow(lean(sets), "member long, items binary").dropDuplicates(["member"]), name)
+
+
+def _verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members whose whole sets (``held``: member, items) are similar enough."""
+    left = pairs.join(held.select(F.col("member").alias("a"), F.col("items").alias("x")), "a")
+    both = left.join(held.select(F.col("member").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,32 +221,100 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 good.append(100 * o >= percent * (len(s) + len(t) - o))
             yield pa.RecordBatch.from_pydict({"a": [i for i, g in zip(a, good, strict=True) if g], "b": [i for i, g in zip(b, good, strict=True) if g]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    links = keep(both.mapInArrow(lean(test), "a long, b long"), "links")
-    discard(spark, held)
-    return links
-
-
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 1) -> DataFrame:
+    return keep(both.mapInArrow(lean(test), "a long, b long"), "links")
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which of ``left`` and ``right`` (none: of ``left`` with itself) sorted sets are similar enough, as a matrix of booleans.
+
+    Overlaps are products of 0/1 matrices over the shingles that two sets or more have, a slice of columns at a time."""
+    both = left if right is None else left + right
+    size = np.fromiter(map(len, both), np.int64, len(both))
+    row = np.repeat(np.arange(len(both)), size)
+    flat = np.concatenate(both)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.concatenate(([True], flat[1:] != flat[:-1]))
+    column = np.cumsum(first) - 1
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], column[shared]
+    column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1 if len(column) else column
+    n, m = len(left), len(both) if right is None else len(right)
+    over = np.zeros((n, m), np.float32)
+    width = max(256, (4 << 20) // len(both))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [a, a + width])
+        ones = np.zeros((len(both), min(width, int(column[-1]) + 1 - a)), np.float32)
+        ones[row[i:j], column[i:j] - a] = 1
+        over += ones[:n] @ (ones if right is None else ones[n:]).T
+    total = size[:n, None] + (size if right is None else size[n:])[None, :]
+    over = over.astype(np.int64)
+    return 100 * over >= percent * (total - over)
+
+
+def link_counts(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """member, links: with how many documents of other sets a member links, of ``members`` (member, comp, n, copies) in classes of two
+    sets or more. Classes go to tasks whole, many small ones together, or, if they are large, in tiles: pairs of hash parts."""
+    sizes = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    sizes = sizes.withColumn("k", F.ceil(F.least(F.greatest(F.col("total") / TILE_SHINGLES, F.col("m") / TILE_SETS), F.col("m") / 2)).cast("long"))
+    some = keep(members.join(sizes.select("comp", "k"), "comp"), "classes")
+    whole = some.filter("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lots = max(1, -(-whole // (4 * TILE_SHINGLES)))
+    part = F.pmod(F.xxhash64("member", F.lit(5)), F.col("k"))
+    # a tile (i, j), i <= j, has part i on its first side and part j on its second
+    ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least("_p", o).alias("i"), F.greatest("_p", o).alias("j"), (F.col("_p") > o).cast("int").alias("side")))
+    tiled = some.withColumn("_p", part).withColumn("_t", F.explode(ends))
+    unit = F.when(F.col("k") == 1, F.pmod(F.xxhash64("comp"), F.lit(lots))).otherwise(F.xxhash64("comp", "_t.i", "_t.j"))
+    rows = tiled.select(unit.alias("unit"), "comp", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), F.col("_t.side").alias("side"), "member", "copies").join(held, "member")
+
+    def count(table: pa.Table) -> pa.Table:
+        comp, i, j, side, member, copies = [table[c].to_numpy() for c in ("comp", "i", "j", "side", "member", "copies")]
+        items = table["items"]
+        order = np.lexsort((side, j, i, comp))
+        key = np.stack([comp[order], i[order], j[order]])
+        starts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+        out: tuple[list, list] = ([], [])
+        for own in np.split(order, starts[1:]):
+            sets = [np.frombuffer(items[int(x)].as_buffer(), np.uint64) for x in own]
+            if i[own[0]] == j[own[0]]:
+                found = linked(sets, None, percent)
+                np.fill_diagonal(found, False)
+                sums = found @ copies[own]
+            else:
+                cut = int((side[own] == 0).sum())
+                if not 0 < cut < len(own):
+                    continue
+                found = linked(sets[:cut], sets[cut:], percent)
+                sums = np.concatenate((found @ copies[own[cut:]], copies[own[:cut]] @ found))
+            out[0].append(member[own])
+            out[1].append(sums.astype(np.int64))
+        return pa.table({"member": np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64), "links": np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64)})
+
+    return rows.groupBy("unit").applyInArrow(lean_group(count), "member long, links long").groupBy("member").agg(F.sum("links").alias("links"))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 1, count_links: bool = True) -> DataFrame:
     """Classes of documents under links of Jaccard similarity ``percent`` / 100 or more of ``k``-word shingle sets.
 
     A-Z are lower-cased, words are runs of anything but ASCII white space; a text of
     fewer than ``k`` words has one shingle of all of them. Returns one row for each
-    doc_id of ``doc_id, text``: doc_id, n_shingles and component_id, the smallest
-    doc_id that links reach. Null or word-free texts have no shingles and no links.
-    Rows with a null doc_id are left out of links and come back with a null component_id;
-    doc_ids are taken to be distinct (repeated ones come back once a row, and their
-    sets count as one document's if they are equal). An empty table gives no rows; other columns
-    aren't read."""
+    row of ``doc_id, text``: doc_id, n_shingles, component_id, the smallest
+    doc_id that links reach, and (with ``count_links``) n_links, the number of other rows that it links with, copies
+    counted each. Null or word-free texts have no shingles and no links.
+    Rows with a null doc_id are left out of links and come back with a null component_id and 0 links.
+    Each row is a document of its own, also where doc_ids repeat: rows of one doc_id with different texts may be in different
+    classes. An empty table gives no rows; other columns aren't read."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    spark = docs.sparkSession
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sets = keep(prefixes(docs, k, percent, *shingle_order(docs, k, text_bytes)), "prefixes")
     # members: identical sets; groups: identical prefix and size
     known = sets.filter("n > 0 and doc_id is not null")
-    members = keep(known.groupBy("n", "prefix_sig", "sig1", "sig2").agg(F.min("doc_id").alias("member")), "members")
-    by_group = members.groupBy("n", "prefix_sig").agg(F.min("member").alias("g"), F.count("*").alias("size"))
-    lead = known.select(F.col("doc_id").alias("g"), "n", "prefix_sig", "prefix", *BITS)
-    groups = by_group.join(lead, ["g", "n", "prefix_sig"]).dropDuplicates(["g"])
-    groups = keep(groups.withColumns({x: F.when(F.col("size") == 1, F.col(x)) for x in BITS}), "groups")
+    members = keep(known.groupBy("n", "prefix_sig", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("member", F.monotonically_increasing_id()), "members")
+    by_group = members.groupBy("n", "prefix_sig").agg(F.min("member").alias("g"), F.min_by("rep", "member").alias("rep"), F.count("*").alias("size"))
+    lead = known.select(F.col("doc_id").alias("rep"), "n", "prefix_sig", "prefix", *BITS)
+    groups = by_group.join(lead, ["rep", "n", "prefix_sig"]).dropDuplicates(["g"])
+    groups = keep(groups.select("g", "n", "prefix_sig", "size", "prefix", *[F.when(F.col("size") == 1, F.col(x)).alias(x) for x in BITS]), "groups")
     in_group = keep(members.join(groups.select("n", "prefix_sig", "g", "size"), ["n", "prefix_sig"]).select("member", "g", "size"), "in-group")
 
     # shingles in the prefixes of two groups or more, by the packed count; groups of several members pair inside themselves
@@ -243,18 +327,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     shared = keep(_counts(groups.select("prefix").mapInArrow(_count_map(heads, 1 << 64, buckets), "bucket int, vals binary, counts binary"), 2), "shared-shingles")
     tokens = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
     rows = keep(tokens.join(shared.select(F.col("value").alias("token")), "token"), "blocks")
+    discard(spark, shared)
     facts = groups.select("g", "n", *BITS)
     inner = in_group.filter((F.col("size") > 1) & (F.col("member") != F.col("g"))).select(F.col("g").alias("a"), F.col("member").alias("b"))
 
     mixed = not in_group.filter("size > 1").isEmpty()
     comp = members.select(F.col("member").alias("node"), F.col("member").alias("comp"))
-    links = None
-    tried = None
+    links = tried = held = None
     for turn in range(hub_rounds + 1):
         # classes that a group's members are in
         spread = in_group.join(comp.withColumnRenamed("node", "member"), "member").groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         labelled = rows.join(spread, "g")
-        open_blocks = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo < _hi").select("token")
+        open_blocks = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("_size")).filter("_lo < _hi").select("token", "_size")
         live = keep(labelled.join(open_blocks, "token").join(facts, "g"), f"live{turn}")
         if live.isEmpty() and not mixed:
             break
@@ -265,33 +349,55 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
             sides = live.join(pick, "token").select(F.col("g").alias("bg"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), *[F.col(x).alias(f"b{x}") for x in BITS], F.col("h.g").alias("ag"), F.col("h.n").alias("an"), F.col("h.pos").alias("apos"), F.col("h.lo").alias("alo"), *[F.col(f"h.{x}").alias(f"a{x}") for x in BITS])
             apart = (F.col("ag") != F.col("bg")) & ((F.col("alo") != F.col("blo")) | (F.col("blo") != F.col("bhi")))
         else:
-            x = live.select("token", *[F.col(c).alias(f"a{c}") for c in ("g", "n", "pos", "lo", "hi", *BITS)])
-            y = live.select("token", *[F.col(c).alias(f"b{c}") for c in ("g", "n", "pos", "lo", "hi", *BITS)])
-            sides = x.join(y, "token")
-            apart = (F.col("ag") < F.col("bg")) & ((F.col("alo") != F.col("blo")) | (F.col("alo") != F.col("ahi")) | (F.col("blo") != F.col("bhi")))
+            # a block of many groups is cut into tiles (parts i <= j), so that no task has all its pairs
+            parts = F.ceil(F.col("_size") / TILE_GROUPS).cast("long")
+            own = live.withColumn("_k", parts).withColumn("_p", F.pmod(F.xxhash64("g", F.lit(3)), F.col("_k")))
+            cols = ("g", "n", "pos", "lo", "hi", *BITS)
+            x = own.withColumn("_o", F.explode(F.sequence("_p", F.col("_k") - 1))).select("token", F.col("_p").alias("_i"), F.col("_o").alias("_j"), *[F.col(c).alias(f"a{c}") for c in cols])
+            y = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), "_p"))).select("token", F.col("_o").alias("_i"), F.col("_p").alias("_j"), *[F.col(c).alias(f"b{c}") for c in cols])
+            sides = x.join(y, ["token", "_i", "_j"])
+            once = F.when(F.col("_i") == F.col("_j"), F.col("ag") < F.col("bg")).otherwise(F.lit(True))
+            apart = once & ((F.col("alo") != F.col("blo")) | (F.col("alo") != F.col("ahi")) | (F.col("blo") != F.col("bhi")))
         found = sides.filter(apart & _compatible("a", "b", percent)).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb")).distinct()
         # expand groups to members
         one, two = (in_group.select(F.col("g").alias(c), F.col("member").alias(m)) for c, m in (("ga", "a"), ("gb", "b")))
         pairs = found.join(one, "ga").join(two, "gb").select("a", "b")
         if turn == 0:
             pairs = pairs.unionByName(inner)
-        elif turn == hub_rounds:
-            same = in_group.filter("size > 1").select("g", F.col("member").alias("a"))
-            pairs = pairs.unionByName(same.join(same.withColumnRenamed("a", "b"), "g").filter("a < b").select("a", "b"))
+        if turn == hub_rounds:
+            same = in_group.filter("size > 1").join(comp.withColumnRenamed("node", "member"), "member").select("g", F.col("member").alias("a"), F.col("comp").alias("ca"))
+            other = same.select("g", F.col("a").alias("b"), F.col("ca").alias("cb"))
+            pairs = pairs.unionByName(same.join(other, "g").filter("a < b and ca <> cb").select("a", "b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
             at = comp.select(F.col("node").alias("a"), F.col("comp").alias("_ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("_cb"))
             pairs = pairs.join(at[0], "a").join(at[1], "b").filter("_ca <> _cb").select("a", "b")
-        pairs = keep(pairs, f"pairs{turn}")
+        pairs = keep(pairs.distinct() if turn == 0 and hub_rounds == 0 else pairs, f"pairs{turn}")
+        discard(spark, live)
         if pairs.isEmpty():
             continue
+        wanted = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct().join(members.select("member", "rep", "sig1", "sig2"), "member")
+        if held is not None:  # sets that an earlier turn read already
+            wanted = wanted.join(held.select("member"), "member", "left_anti")
+        more = _sets_of(wanted, docs, k, f"sets{turn}")
+        held = more if held is None else held.unionByName(more)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        good = _verify(pairs, docs, k, percent)
+        good = _verify(pairs, held, percent)
         links = good if links is None else links.unionByName(good)
         comp = min_label_components(members.select(F.col("member").alias("node")), links)
-    of = members.join(comp.withColumnRenamed("node", "member"), "member").select("n", "prefix_sig", "sig1", "sig2", "comp")
+    of = members.join(comp.withColumnRenamed("node", "member"), "member")
+    least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of = of.join(least, "comp")
+    own_links = F.col("copies") - 1
+    if count_links and held is not None:
+        counted = link_counts(of.select("member", "comp", "n", "copies"), held, percent)
+        of = of.join(counted, "member", "left")
+        own_links = own_links + F.coalesce("links", F.lit(0))
+    of = of.select("n", "prefix_sig", "sig1", "sig2", "component_id", own_links.alias("n_links"))
     whole = sets.join(of, ["n", "prefix_sig", "sig1", "sig2"], "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    in_class = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(in_class, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(in_class, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def _nth_hub(hub_of: DataFrame, turn: int) -> DataFrame:

@@ -64,3 +64,15 @@ def classes(rows, k, percent):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def link_counts(rows, k, percent):
+    """doc_id -> number of other rows that it links with, by testing all pairs."""
+    sets = [(r[0], shingles(r[1], k)) for r in rows]
+    out = dict.fromkeys((d for d, _ in sets), 0)
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[i + 1 :]:
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
+                out[a] += 1
+                out[b] += 1
+    return out

@@ -11,7 +11,7 @@ from postbag.llm import ngram_jaccard, packing, token_counts, token_files
 from postbag.llm.common import WordEncoder
 from postbag.llm.queries import WORDS, vocabulary
 
-from .helpers import SCHEMA, classes, documents, frame, prose
+from .helpers import SCHEMA, classes, documents, frame, link_counts, prose
 
 
 @pytest.fixture(scope="module")
@@ -42,8 +42,9 @@ def test_small_cache_gives_the_same_ids(encoder):
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
 def test_jaccard_classes(spark, k, percent):
     rows = documents()
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_classes(frame(spark, rows), k, percent).collect()}
-    assert found == classes(rows, k, percent)
+    got = ngram_jaccard.jaccard_classes(frame(spark, rows), k, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows, k, percent)
+    assert {r.doc_id: r.n_links for r in got} == link_counts(rows, k, percent)
 
 
 def test_jaccard_classes_of_dense_and_chained_copies(spark, monkeypatch):
@@ -59,9 +60,32 @@ def test_jaccard_classes_of_dense_and_chained_copies(spark, monkeypatch):
             rows.append((len(rows), " ".join(w) + (" " + passage if c % 2 else ""), None, None, 0, 0, 0.0, 0))
     for _ in range(60):
         rows.append((len(rows), prose(rng, rng.randrange(1, 30)) + " " + passage, None, None, 0, 0, 0.0, 0))
-    for hubs in (0, 2):
-        found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_classes(frame(spark, rows), 4, 85, hub_rounds=hubs).collect()}
-        assert found == classes(rows, 4, 85)
+    rows += [(1000 + r[0], r[1], *r[2:]) for r in rows[:30]]  # exact copies
+    for hubs, tile in ((0, 1500), (2, 7)):  # whole classes and blocks, or many tiles of each
+        monkeypatch.setattr(ngram_jaccard, "TILE_SETS", tile)
+        monkeypatch.setattr(ngram_jaccard, "TILE_GROUPS", tile)
+        got = ngram_jaccard.jaccard_classes(frame(spark, rows), 4, 85, hub_rounds=hubs).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows, 4, 85)
+        assert {r.doc_id: r.n_links for r in got} == link_counts(rows, 4, 85)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (9, b), (2, a), (7, c), (None, c), (11, None), (11, "")]
+    got = ngram_jaccard.jaccard_classes(spark.createDataFrame([(*r, *[None] * 6) for r in rows], SCHEMA), 4, 85).collect()
+    found = sorted((r.doc_id or 0, r.n_shingles > 0, r.component_id or 0, r.n_links) for r in got)
+    assert found == sorted([(5, True, 2, 1), (5, True, 5, 2), (5, True, 5, 2), (9, True, 5, 2), (2, True, 2, 1), (7, True, 7, 0), (0, True, 0, 0), (11, False, 11, 0), (11, False, 11, 0)])
+
+
+def test_functions_for_workers_can_be_pickled():
+    from pyspark.cloudpickle import dumps
+
+    from postbag.llm import chat, fertility, token_counts, warc  # noqa: F401  every module of the subpackage is loaded
+    from postbag.llm.common import lean, lean_group
+
+    for wrap in (lean, lean_group):
+        dumps(wrap(lambda x: x))
 
 
 def test_jaccard_classes_of_odd_tables(spark):
