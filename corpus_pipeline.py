@@ -27,7 +27,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     smallest doc_id, a row without one only if none has; of rows with the same doc_id in a class, one.
     Links are between rows, so doc_ids may be null or repeated."""
     rows = with_row_keys(docs, "near-duplicate-rows")
-    classes = ngram_jaccard.jaccard_classes(rows.select(F.col(ROW).alias("doc_id"), "text"), k=5, percent=80)
+    classes = ngram_jaccard.jaccard_classes(rows.select(F.col(ROW).alias("doc_id"), "text"), k=5, percent=80, count_links=False)
     ids = rows.select(F.col(ROW).alias("_r"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(ROW)).alias("_order"))
     first = classes.join(ids, F.col("doc_id") == F.col("_r")).select("component_id", "_order", "_r")
     first = first.groupBy("component_id").agg(F.min_by("_r", "_order").alias(ROW))
