@@ -81,7 +81,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, ordered: boo
     at = at or fresh_dir(spark, "tokens")
     seen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if ordered:
-        seen = seen.repartitionByRange(F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+        # ranges by the beginning of the text part the rows of a frequent doc_id; whole texts as keys would go to the driver in its samples
+        seen = seen.repartitionByRange(F.asc_nulls_first("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     parts = keep(seen.mapInArrow(_parts(at, tokenizer, end_id, plain), MANIFEST), "manifest")
     before = Window.orderBy("first_id", "path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return parts.withColumns({"base": F.coalesce(F.sum("n_tokens").over(before), F.lit(0)), "doc_base": F.coalesce(F.sum("n_docs").over(before), F.lit(0))})
