@@ -8,6 +8,7 @@ stands for. The template wraps turns; the loss mask is the assistant's text."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,6 +35,17 @@ class Template:
         """Double each escape character, and put one after the first character of each control string."""
         return self._pattern().sub(lambda m: m[0][0] + self.escape + m[0][1:], text)
 
+    def hide_line(self, text: str) -> str:
+        """``hide`` for a text that a line end closes: its own line feeds get an escape character before them."""
+        return self.hide(text).replace("\n", self.escape + "\n")
+
+    def line_end(self, text: str, at: int) -> int:
+        """Where the first line feed from ``at`` on is that no escape character hides."""
+        found = _line(self.escape).match(text, at)
+        if not found:
+            raise ValueError(f"no line end after {at}")
+        return found.end() - 1
+
     def _pattern(self) -> re.Pattern:
         return _compiled(self.controls, self.escape)
 
@@ -55,6 +67,12 @@ def _compiled(controls: tuple[str, ...], escape: str) -> re.Pattern:
     return _PATTERNS[key]
 
 
+@functools.lru_cache(maxsize=16)
+def _line(escape: str) -> re.Pattern:
+    e = re.escape(escape)
+    return re.compile(f"(?:{e}.|[^{e}\n])*\n", re.DOTALL)
+
+
 @dataclass(frozen=True)
 class Expansion:
     """Tokens that stand for an attachment: image patches, audio frames, document pages."""
@@ -114,7 +132,7 @@ def format_conversation(turns: list[dict], template: Template, expansion: Expans
     out, at, spans = [], 0, []
     for i, turn in enumerate(turns):
         visitor.turn = i
-        head = f"{template.start}{template.hide(turn['role'] or '')}\n"
+        head = f"{template.start}{template.hide_line(turn['role'] or '')}\n"
         body = visitor.flatten(turn["parts"])
         if turn["role"] == loss_role:
             spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
@@ -129,7 +147,7 @@ def read_back(formatted: str, template: Template) -> list[tuple[str, str]]:
     while at < len(formatted):
         if not formatted.startswith(template.start, at):
             raise ValueError(f"no turn at {at}")
-        line = formatted.index("\n", at)
+        line = template.line_end(formatted, at)
         stop = formatted.index(template.stop + "\n", line)
         turns.append((template.show(formatted[at + len(template.start) : line]), template.show(formatted[line + 1 : stop])))
         at = stop + len(template.stop) + 1
@@ -141,11 +159,10 @@ def format_chats(rows: DataFrame, template: Template | None = None, expansion: E
 
     Returns conv_id, formatted, loss (spans in characters), attachments and
     expanded_tokens. Turns go in order of turn (nulls first; ties by role, then
-    content); repeated rows are turns of their own. A null role is empty (a line
-    feed in a role is written as a space), null parts or a null text are empty, an unknown part type is an error. Null conv_ids are one
-    conversation. An empty table stays empty; other columns aren't read."""
+    content); repeated rows are turns of their own. A null role is empty, null parts or a null text are empty, an unknown part type is an error. Null conv_ids are one
+    conversation. A conversation is one string, so its turns meet in one task; nothing else does. An empty table stays empty; other columns aren't read."""
     template, expansion = template or Template(), expansion or Expansion()
-    seen = rows.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), F.regexp_replace(F.col("role").cast("string"), "\n", " ").alias("role"), F.col("parts").cast(f"array<{PART}>").alias("parts")).alias("t"))
+    seen = rows.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("parts").cast(f"array<{PART}>").alias("parts")).alias("t"))
     whole = seen.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     schema = f"conv_id long, formatted string, loss array<struct<start:long,end:long>>, attachments array<{ATTACHMENT}>, expanded_tokens long"
     attachment = pa.struct([("placeholder", pa.string()), ("turn", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
