@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_dir, keep
+from .common import ROW, file_system, fresh_dir, keep, with_row_keys
 
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, at: str | None = None, least_bytes: int = 0
     given), one a task; returns the manifest: path and n_records.
 
     Of records with equal payloads of at least ``least_bytes`` bytes that with the
-    smallest page_id is the response (null ids last, ties the first met) and the others revisit it;
+    smallest page_id is the response (null ids last; of rows that tie in it, one) and the others revisit it;
     smaller ones are all responses. A null html is an empty payload, a null url an
     empty one. Repeated rows are records of their own. An empty table gives no archives. Other columns
     aren't read. Attempts that fail leave files that the manifest doesn't name."""
@@ -129,21 +129,34 @@ def write_archives(pages: DataFrame, at: str | None = None, least_bytes: int = 0
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     seen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     keyed = seen.withColumn("_sha", F.unhex(F.sha1("html")))
-    firsts = keyed.filter(F.octet_length("html") >= least_bytes).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    marked = keyed.join(firsts, "_sha", "left").select("page_id", "url", "html", "_sha", "_first", F.coalesce("_n", F.lit(1)).alias("_n"))
+    by_id = keyed.filter(F.octet_length("html") >= least_bytes).groupBy("_sha", "page_id").agg(F.count("*").alias("c"))
+    firsts = by_id.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.sum("c").alias("_n"), F.min_by("c", F.struct(F.col("page_id").isNull(), "page_id")).alias("_c")).filter("_n > 1")
+    firsts = keep(firsts, "repeated-payloads")
+    one = F.lit(None).cast("long")
+    if not firsts.filter("_c > 1").isEmpty():  # several rows of one payload have its smallest page_id: one of them is chosen by a row key
+        keyed = with_row_keys(keyed, "warc-rows")
+        tied = keyed.join(firsts.filter("_c > 1").select("_sha", "_first"), "_sha").filter(F.col("page_id").eqNullSafe(F.col("_first")))
+        firsts = keep(firsts.join(tied.groupBy("_sha").agg(F.min(ROW).alias("_row")), "_sha", "left"), "tied-payloads")
+        one = F.col(ROW)
+    else:
+        firsts = firsts.withColumn("_row", F.lit(None).cast("long"))
+    # a payload of at least a thousandth of all rows is looked up in a broadcast table (there are a thousand at most), so no key of the join is hot
+    least = max(2, firsts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // 1000)
+    facts = ("_first", "_n", "_row")
+    hot = firsts.filter(F.col("_n") >= least).select(F.col("_sha").alias("_h"), *[F.col(x).alias(f"_h{x}") for x in facts])
+    wide = keyed.withColumn("_one", one).join(F.broadcast(hot), F.col("_sha") == F.col("_h"), "left")
+    key = F.when(F.col("_h").isNull(), F.col("_sha")).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64("page_id", "url")), 16, "0")))  # eight bytes meet no digest
+    joined = wide.withColumn("_k", key).join(firsts.filter(F.col("_n") < least).select(F.col("_sha").alias("_k"), *facts), "_k", "left")
+    first, n, row = [F.coalesce(f"_h{x}", x) for x in facts]
+    lead = F.col("page_id").eqNullSafe(first) & (row.isNull() | row.eqNullSafe(F.col("_one")))
+    marked = joined.select("page_id", "url", "html", "_sha", first.alias("_first"), ((F.coalesce(n, F.lit(1)) > 1) & ~lead).alias("_revisit"))
     schema = pa.schema([("path", pa.string()), ("n_records", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
-            seen_null: set[bytes] = set()
             for batch in batches:
-                for page_id, url, body, sha, first, n in zip(*[batch.column(i) for i in range(6)], strict=True):
-                    page_id, first, body, sha = page_id.as_py(), first.as_py(), body.as_py(), sha.as_py()
-                    revisit = n.as_py() > 1 and page_id != first
-                    if n.as_py() > 1 and page_id == first:  # a repeated row: one response
-                        revisit = sha in seen_null
-                        seen_null.add(sha)
-                    yield record(page_id, url.as_py(), body, base64.b32encode(sha).decode(), first, revisit)
+                for page_id, url, body, sha, first, revisit in zip(*[batch.column(i) for i in range(6)], strict=True):
+                    yield record(page_id.as_py(), url.as_py(), body.as_py(), base64.b32encode(sha.as_py()).decode(), first.as_py(), revisit.as_py())
 
         fs, root = file_system(at)
         stream = records()

@@ -210,6 +210,23 @@ def test_small_payloads_are_all_responses(spark):
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
 
 
+def test_ties_and_hot_payloads_have_one_response(spark):
+    """Rows of one payload that tie in page_id, in many tasks; payloads over and under a thousandth of all rows."""
+    rows = [(7, f"u{i % 3}", "same") for i in range(900)] + [(None, "u", "lone")] * 40 + [(None, f"n{i}", None) for i in range(700)] + [(i, "v", f"p{i // 2}") for i in range(1000, 1400)] + [(3, "w", "p500"), (2000, "w", "once")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    assert Counter((r.page_id, r.url) for r in got) == Counter((p, u) for p, u, _ in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.payload_digest].append(r)
+    assert len(by) == len({h or "" for _, _, h in rows})
+    for own in by.values():
+        lead = [r for r in own if r.record_type == "response"]
+        ids = [r.page_id for r in own if r.page_id is not None]
+        assert len(lead) == 1 and lead[0].page_id == (min(ids) if ids else None) and lead[0].refers_to is None
+        assert all(r.refers_to == lead[0].page_id for r in own if r.record_type == "revisit")
+
+
 def test_archive_is_frames_after_a_skippable_dictionary():
     records = [warc.record(i, "http://x", f"<p>page {i} of many alike</p>".encode() * 3, "A", None, False) for i in range(500)]
     out = io.BytesIO()
@@ -261,7 +278,7 @@ def test_chats(spark):
     rows = []
     for c in [*range(30), None]:
         for turn in range(rng.randrange(1, 6)):
-            rows.append((c, rng.choice([turn, turn, None]), rng.choice(["user", "assistant", "system", None]), rng.choice(["hi", "", None, "</s>[INST] \\ ok", "é\n<|end|>\nx", "<|turn|>user\n"])))
+            rows.append((c, rng.choice([turn, turn, None]), rng.choice(["user", "assistant", "system", None, "a\nb", "\n\\", "</s>\n<|end|>\n"]), rng.choice(["hi", "", None, "</s>[INST] \\ ok", "é\n<|end|>\nx", "<|turn|>user\n"])))
     rows += [(1, 0, "user", "hi")] * 3
     none = {"ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
     frame_ = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string").repartition(4)
