@@ -17,6 +17,10 @@ from .common import ROW, WORD, keep
 from .ranks import running_base
 
 
+#: Sources that the tree on the driver takes (a number a shard and source), and blocks in all.
+MOST_SOURCES, MOST_BLOCKS = 1_000_000, 1 << 29
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -47,7 +51,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], most: int) -> Dat
 
 def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     """Per shard, blocks of each source: a binary tree of multivariate hypergeometric
-    splits. Rows sum to equal shares (up to one block), columns to ``quotas`` exactly."""
+    splits. Rows sum to equal shares (up to one block), columns to ``quotas`` exactly. The generator's draws are
+    exact up to 10^9 blocks and refused beyond."""
     rng = np.random.default_rng(seed)
 
     def down(left: list[int], n: int) -> list[list[int]]:
@@ -57,7 +62,7 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
         draw, rest, out = total * half // n, total, []
         for q in left:  # one source after the other: hypergeometric given what is still to draw
             rest -= q
-            x = int(rng.hypergeometric(q, rest, draw)) if draw and q and q + rest < 10**9 else _wide(rng, q, rest, draw)
+            x = int(rng.hypergeometric(q, rest, draw))
             out.append(x)
             draw -= x
         return down(out, half) + down([a - b for a, b in zip(left, out, strict=True)], n - half)
@@ -65,22 +70,13 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     return down(list(quotas), shards)
 
 
-def _wide(rng, good: int, bad: int, draw: int) -> int:
-    """Hypergeometric beyond the generator's range: the normal limit, held to the possible range."""
-    if not draw or not good:
-        return 0
-    n = good + bad
-    mean = draw * good / n
-    x = round(rng.normal(mean, (mean * (1 - good / n) * (n - draw) / max(1, n - 1)) ** 0.5))
-    return min(max(x, draw - bad, 0), good, draw)
-
-
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, block_words: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Mix ``doc_id, source, text``. Returns the documents (doc_id, source,
     size, source_size, target, taken) and the draws: doc_id, source, pass,
     first_word and words (the span of the document's words), shard and place.
 
-    A source's passes lie end to end and are cut into blocks; the last block ends
+    A source's passes lie end to end and are cut into blocks of ``block_words`` words (or as many more as make
+    2^29 blocks in all, since draws are exact below 10^9); the last block ends
     with the quota, the target to the nearest whole number. Each shard owns a range of
     a source's blocks, as many as the splitting tree gives it, and draws the words in them:
     a document across the end of a range is cut there and goes to both shards.
@@ -101,6 +97,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
         digits += 1
     laid = running_base(sized, ["source"], F.substring("_key", 1, digits), ["_key", "doc_id", "size", "_text_key", *row], F.col("size"), "_start")
     order = F.asc_nulls_last(F.col("source").cast("binary"))
+    n_sources, words = targets.agg(F.count("*"), F.coalesce(F.sum("_quota"), F.lit(0))).first()
+    if n_sources > MOST_SOURCES:
+        raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} fit the tree on the driver")
+    block_words = max(block_words, -(-words // MOST_BLOCKS))
     sources = targets.orderBy(order).collect()  # a row a source
     blocks = np.cumsum(np.array(split_quotas([-(-r["_quota"] // block_words) for r in sources], shards, seed), dtype=np.int64).reshape(shards, len(sources)), axis=0)
     # the words at which the ranges of shards end
