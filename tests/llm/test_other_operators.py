@@ -118,9 +118,9 @@ def test_sharding_of_odd_tables(spark):
 
 
 @pytest.mark.parametrize("seed", range(10))
-def test_room_tree_and_balance(seed):
+def test_runs_enter_bins_as_single_units_would(seed):
     rng = random.Random(seed)
-    sizes = sorted((rng.randrange(1, 100) for _ in range(200)), reverse=True)
+    sizes = sorted((rng.randrange(1, 100 if seed % 2 else 12) for _ in range(200)), reverse=True)
     rooms: list[tuple[int, int]] = []
     want = []
     for s in sizes:  # best fit by linear search
@@ -131,13 +131,36 @@ def test_room_tree_and_balance(seed):
             rooms.remove(fit)
         want.append(fit[1])
         rooms.append((fit[0] - s, fit[1]))
-    assert sharding.best_fit_decreasing(sizes, 100) == want
+    runs = sorted(Counter(sizes).items(), reverse=True)
+    got = sharding.best_fit_decreasing(runs, 100)
+    assert [b for _, n, b in got for _ in range(n)] == want and [s for s, n, _ in got for _ in range(n)] == sizes
     bins = Counter()
-    for s, b in zip(sizes, sharding.balance(sizes, 7), strict=True):
-        bins[b] += s
+    for s, n, b in sharding.balance(runs, 7):
+        bins[b] += s * n
     assert len(bins) <= 7 and max(bins.values()) <= sum(sizes) / 7 * 1.02 + 1
 
 
+def test_small_groups_are_packed_and_not_hashed(spark):
+    """Four shards of two sizes that only a packing makes even: hashed lots can't."""
+    rows = [(i, "x" * (130 if i < 4 else 42) + f"{i:04d}", *[None] * 6) for i in range(8)]  # 4 groups of 150 and 4 of 62
+    found = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), shards=4, overhead=16).collect()
+    check_shards(rows, found, 4)
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    assert sorted(sizes.values()) == [212] * 4
+
+
+def test_many_equal_sizes_spread_evenly(spark):
+    rows = [(i, f"{i:06d}", *[None] * 6) for i in range(3000)] + [(i, f"long {i:06d}", *[None] * 6) for i in range(3000, 3050)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(7), shards=8).collect()
+    check_shards(rows, found, 8)
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 27
+
+
 # --------------------------------------------------------------- quality rules
 def base(text):
     w = words(text)
