@@ -3,8 +3,10 @@ hashing of words and shingles over Arrow buffers, and the cached word encoder.""
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import gc
 import os
 import tempfile
 import unicodedata
@@ -48,14 +50,54 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back. Inside ``scratch`` the table goes when that ends."""
     spark = df.sparkSession
     at = fresh_dir(spark, name)
-    df.write.parquet(at)
+    if _SCRATCH:
+        _SCRATCH[-1].append(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables kept inside are removed at the end, and shuffle files that nothing reads any more are let go. ``settle`` gives the result."""
+    mine: list[str] = []
+    _SCRATCH.append(mine)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(mine)
+        for at in mine:
+            _delete(spark, at)
+        release(spark)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``keep`` for a result: inside ``scratch`` it outlives that, and only an outer one, if there is one, removes it."""
+    inner = _SCRATCH.pop() if _SCRATCH else None
+    try:
+        return keep(df, name)
+    finally:
+        if inner is not None:
+            _SCRATCH.append(inner)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing holds any more; it learns of them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Name of the column that tells rows apart, whatever their doc_id.
 ROW = "_row_key"
 
@@ -67,9 +109,8 @@ def with_row_keys(df: DataFrame, name: str) -> DataFrame:
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files of a table made by ``keep`` that nothing reads any more."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for at in {os.path.dirname(x) for x in df.inputFiles()}:
+        _delete(spark, at)
 
 
 def file_system(uri: str):

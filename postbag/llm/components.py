@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def min_label_components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,6 +22,7 @@ def min_label_components(nodes: DataFrame, links: DataFrame, most_rounds: int =
         low = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("low"))
         jump = low.join(label.select(F.col("node").alias("low"), F.col("comp").alias("next")), "low", "left")
         new = keep(jump.select("node", "was", F.least("low", F.coalesce("next", "low")).alias("comp")), "label")
+        discard(both.sparkSession, label)
         label = new.select("node", "comp")
         if not new.filter("was <> comp").limit(1).count():
             break

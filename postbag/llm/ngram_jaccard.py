@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep, lean, lean_group, mix, shingle_sets
+from .common import discard, keep, lean, lean_group, mix, release, scratch, settle, shingle_sets
 from .components import min_label_components
 
 #: Shingles of at least this many documents may be ordered last; the table of them holds at most HOT_LIMIT.
@@ -303,11 +303,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     counted each. Null or word-free texts have no shingles and no links.
     Rows with a null doc_id are left out of links and come back with a null component_id and 0 links.
     Each row is a document of its own, also where doc_ids repeat: rows of one doc_id with different texts may be in different
-    classes. An empty table gives no rows; other columns aren't read."""
+    classes. An empty table gives no rows; other columns aren't read. The result is a table
+    of its own in the shared folder; all else that was written on the way is removed."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    with scratch(docs.sparkSession):
+        return settle(_classes(docs, k, percent, hub_rounds, count_links), "jaccard-classes")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links: bool) -> DataFrame:
     spark = docs.sparkSession
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sets = keep(prefixes(docs, k, percent, *shingle_order(docs, k, text_bytes)), "prefixes")
+    release(spark)
     # members: identical sets; groups: identical prefix and size
     known = sets.filter("n > 0 and doc_id is not null")
     members = keep(known.groupBy("n", "prefix_sig", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("member", F.monotonically_increasing_id()), "members")
@@ -328,6 +335,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     tokens = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
     rows = keep(tokens.join(shared.select(F.col("value").alias("token")), "token"), "blocks")
     discard(spark, shared)
+    release(spark)
     facts = groups.select("g", "n", *BITS)
     inner = in_group.filter((F.col("size") > 1) & (F.col("member") != F.col("g"))).select(F.col("g").alias("a"), F.col("member").alias("b"))
 
@@ -374,6 +382,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
             pairs = pairs.join(at[0], "a").join(at[1], "b").filter("_ca <> _cb").select("a", "b")
         pairs = keep(pairs.distinct() if turn == 0 and hub_rounds == 0 else pairs, f"pairs{turn}")
         discard(spark, live)
+        release(spark)
         if pairs.isEmpty():
             continue
         wanted = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct().join(members.select("member", "rep", "sig1", "sig2"), "member")
@@ -385,6 +394,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
         good = _verify(pairs, held, percent)
         links = good if links is None else links.unionByName(good)
         comp = min_label_components(members.select(F.col("member").alias("node")), links)
+        release(spark)
     of = members.join(comp.withColumnRenamed("node", "member"), "member")
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "comp")
