@@ -4,10 +4,10 @@ Each paragraph hashes to a wide vector and a text's vector is the sum of them
 modulo 2**32 in every lane. So the order of paragraphs doesn't matter, and a
 paragraph is put in or taken out by adding or subtracting its own vector. The
 lanes: the count of paragraphs; ``DENSE`` lanes that every paragraph adds to,
-which settle equality; and strata, for likeness: a paragraph adds to one cell of
+which settle equality; and strata of ``CELLS`` cells, for likeness: a paragraph adds to one cell of
 stratum s with probability 2**-(s+1). The difference of two vectors is the
-vector of the symmetric difference, and the share of cells that are not zero in
-the first stratum that isn't crowded gives its size."""
+vector of the symmetric difference, and the share of cells that are not zero from
+the first stratum on that isn't crowded gives its size."""
 
 from __future__ import annotations
 
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-DENSE, STRATA, CELLS = 8, 10, 12
+DENSE = 8
+#: Cells of each stratum, multiples of eight: many where the difference of texts of common lengths falls.
+CELLS = (64, 64, 32, 32, 32, 16, 16, 16, 16, 16)
 MASK = (1 << 32) - 1
 #: A paragraph ends at a line end or, so that a likeness can tell parts of long paragraphs apart, at a sentence end.
 PARAGRAPH_END = r"[\n\r]+|(?<=[.!?])[ \t]+"
@@ -26,38 +28,40 @@ def _low(x: Column) -> Column:
     return x.bitwiseAND(F.lit(MASK))
 
 
-def _seeded(i: int):
-    return lambda x: F.xxhash64(x, F.lit(i))
-
-
 def _bit(s: int, value: int):
     return lambda x: F.shiftright(x, s).bitwiseAND(F.lit(1)) == value
 
 
+def _paragraphs(text: Column, separator: str) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda p: p != "")
+
+
 def fingerprint(text: Column, separator: str = PARAGRAPH_END) -> Column:
     """The lanes (array<bigint>, each from 0 to 2**32 - 1) of a text; a null is like an empty text: all zero.
     Empty paragraphs count nothing."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda p: p != "")
-    hashes = F.transform(parts, lambda p: F.xxhash64(p))
+    # a paragraph is hashed anew for each pair of dense lanes, with another seed before it: no 64-bit state is common to all lanes
+    wide = F.transform(_paragraphs(text, separator), lambda p: F.array(F.xxhash64(p), *[F.xxhash64(F.lit(i), p) for i in range(DENSE // 2)]))
 
-    def of(h: Column) -> Column:
+    def of(rows: Column) -> Column:
         def total(xs: Column, value) -> Column:
             return F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: _low(a + value(x)))
 
         dense = []
-        for i in range(DENSE // 2):
-            wide = F.transform(h, _seeded(i))
-            dense.append(F.transform(F.array(wide), lambda w: F.array(total(w, _low), total(w, lambda x: F.shiftrightunsigned(x, 32)))).getItem(0))
+        for i in range(1, DENSE // 2 + 1):
+            dense.append(F.array(total(rows, lambda w, i=i: _low(w[i])), total(rows, lambda w, i=i: F.shiftrightunsigned(w[i], 32))))
         # stratum: trailing one bits; cell: the next bits; value: the high half
-        strata = []
-        rest = h
-        for s in range(STRATA):
-            strata.append(F.filter(rest, _bit(s, 0)) if s < STRATA - 1 else rest)
-            rest = F.filter(rest, _bit(s, 1))
-        cells = F.flatten(F.transform(F.array(*strata), lambda own: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: total(F.filter(own, lambda x: F.pmod(F.shiftrightunsigned(x, 12).bitwiseAND(F.lit(0xFFFFF)), F.lit(CELLS)) == c), lambda x: F.shiftrightunsigned(x, 32)))))
-        return F.concat(F.array(F.size(h).cast("bigint")), *dense, cells)
+        cells = []
+        rest = F.transform(rows, lambda w: w[0])
+        for s, n in enumerate(CELLS):
+            own, rest = (F.filter(rest, _bit(s, 0)), F.filter(rest, _bit(s, 1))) if s < len(CELLS) - 1 else (rest, rest)
+            cell = lambda x, n=n: F.pmod(F.shiftrightunsigned(x, 12).bitwiseAND(F.lit(0xFFFFF)), F.lit(n))
+            # eight parts first, so that each cell looks through an eighth
+            part = lambda k, own=own, cell=cell, n=n: F.filter(own, lambda x: F.floor(cell(x) / (n // 8)) == k)
+            inside = lambda k, xs, cell=cell, n=n: F.transform(F.sequence(k * (n // 8), k * (n // 8) + F.lit(n // 8 - 1)), lambda c: total(F.filter(xs, lambda x: cell(x) == c), lambda x: F.shiftrightunsigned(x, 32)))
+            cells.append(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.flatten(F.transform(F.array(part(k)), lambda xs: inside(k, xs))))))
+        return F.concat(F.array(F.size(rows).cast("bigint")), *dense, *cells)
 
-    return F.transform(F.array(hashes), of).getItem(0)
+    return F.transform(F.array(wide), of).getItem(0)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -79,18 +83,20 @@ def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard likeness of two texts' paragraph multisets, 0 to 1; exactly 1 if and
     (but for collisions of the dense lanes) only if they are equal."""
     first = 1 + DENSE
-    diff = subtract(a, b)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(STRATA - 1)), lambda s: F.size(F.filter(F.slice(F.slice(diff, first + 1, STRATA * CELLS), s * CELLS + 1, CELLS), lambda x: x != 0)))
+    used, at = [], first + 1
+    for n in CELLS:
+        used.append(F.size(F.filter(F.zip_with(F.slice(a, at, n), F.slice(b, at, n), lambda x, y: x != y), lambda x: x)).cast("double"))
+        at += n
+    sizes = F.array(*[F.lit(float(n)) for n in CELLS])
 
     def estimate(used: Column) -> Column:
-        # strata from the first that is under two thirds full: all that they hold, scaled by their share
-        limit = CELLS * 2 // 3
-        start = F.coalesce(F.element_at(F.filter(F.sequence(F.lit(0), F.lit(STRATA - 1)), lambda s: F.get(used, s) <= limit), 1), F.lit(STRATA - 1))
-        held = F.aggregate(F.sequence(start, F.lit(STRATA - 1)), F.lit(0.0), lambda t, s: t + F.lit(float(CELLS)) * F.log(F.lit(float(CELLS)) / (F.lit(CELLS + 0.5) - F.least(F.get(used, s).cast("double"), F.lit(CELLS * 1.0)))) - F.lit(float(CELLS)) * F.log(F.lit(CELLS / (CELLS + 0.5))))
-        return held * F.pow(F.lit(2.0), start.cast("double"))
+        # strata from the first that is at most two thirds full: all that they hold, scaled by their share
+        start = F.coalesce(F.element_at(F.filter(F.sequence(F.lit(0), F.lit(len(CELLS) - 1)), lambda s: F.get(used, s) * 3 <= F.get(sizes, s) * 2), 1), F.lit(len(CELLS) - 1))
+        each = F.zip_with(used, sizes, lambda u, n: n * F.log((n + 0.5) / (n + 0.5 - u)))
+        return F.aggregate(F.slice(each, start + 1, len(CELLS)), F.lit(0.0), lambda t, x: t + x) * F.pow(F.lit(2.0), start.cast("double"))
 
     both = (F.get(a, F.lit(0)) + F.get(b, F.lit(0))).cast("double")
-    apart = F.least(F.transform(F.array(counts), estimate).getItem(0), both)
+    apart = F.least(F.transform(F.array(F.array(*used)), estimate).getItem(0), both)
     raw = (both - apart) / (both + apart)
     same = F.slice(a, 1, first) == F.slice(b, 1, first)
     return F.when(same, F.lit(1.0)).otherwise(F.least(F.coalesce(F.greatest(raw, F.lit(0.0)), F.lit(0.0)), F.lit(0.999999)))
@@ -116,11 +122,12 @@ def with_next(docs: DataFrame, each: int = 2000) -> DataFrame:
     dealt = seen.withColumn("_b", bucket)
     by = (F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     ahead = dealt.withColumns({"_n": F.lead(F.struct("text")).over(Window.partitionBy("_b").orderBy(*by))})
-    heads = dealt.groupBy("_b").agg(F.min_by("text", F.struct(F.col("doc_id").isNotNull(), "doc_id", F.col("text").isNotNull(), "text")).alias("_head"))
-    ring = Window.orderBy("_b")  # a row a range
+    heads = keep(dealt.groupBy("_b").agg(F.min_by("text", F.struct(F.col("doc_id").isNotNull(), "doc_id", F.col("text").isNotNull(), "text")).alias("_head")), "range-heads")
+    ring = Window.orderBy("_b")  # a number a range, no texts
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("_b", F.coalesce(F.lead(F.struct("_head")).over(ring), F.first(F.struct("_head")).over(whole)).getField("_head").alias("_follow"))
-    return ahead.join(heads, "_b").select("doc_id", "text", F.when(F.col("_n").isNull(), F.col("_follow")).otherwise(F.col("_n.text")).alias("next_text"))
+    after = heads.select("_b", F.coalesce(F.lead("_b").over(ring), F.first("_b").over(whole)).alias("_after"))
+    follow = after.join(heads.select(F.col("_b").alias("_after"), F.col("_head").alias("_follow")), "_after").drop("_after")
+    return ahead.join(follow, "_b").select("doc_id", "text", F.when(F.col("_n").isNull(), F.col("_follow")).otherwise(F.col("_n.text")).alias("next_text"))
 
 
 def fingerprint_edits(docs: DataFrame, separator: str = PARAGRAPH_END) -> DataFrame:
