@@ -53,9 +53,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 _SCRATCH: list[list[str]] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back. Inside ``scratch`` the table goes when that ends."""
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back. Inside ``scratch`` the table goes when that ends.
+    ``rows``: about how many narrow rows there are at most, for as many files as they need (50,000 a file, twelve at least)."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(12, rows // 50_000))
     at = fresh_dir(spark, name)
     if _SCRATCH:
         _SCRATCH[-1].append(at)
@@ -87,6 +90,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
             _SCRATCH.append(inner)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most 8 MB between Spark and Python workers: texts and sets are wide rows, and both sides hold a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing holds any more; it learns of them when the driver collects garbage."""
     gc.collect()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, cached_in_worker, text_slices, window_hashes, word_hashes, word_spans
+from .common import ChunkCache, cached_in_worker, small_batches, text_slices, window_hashes, word_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -142,6 +142,7 @@ def quality(docs: DataFrame, model: str, bands: Bands | None = None, keep_column
     not kept. A null or unknown language goes by script. ``keep_columns`` pass
     through (``with_text``: the text too); others, of whatever names, aren't read. An empty table stays empty."""
     bands = bands or Bands()
+    small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     keep_columns = tuple(c for c in keep_columns if not (with_text and c == "text"))
     seen = docs.select(*keep_columns, F.col("text").cast("string").alias("_text"), lang.alias("_lang"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep, lean, lean_group, mix, release, scratch, settle, shingle_sets
+from .common import discard, keep, lean, lean_group, mix, release, scratch, settle, shingle_sets, small_batches
 from .components import min_label_components
 
 #: Shingles of at least this many documents may be ordered last; the table of them holds at most HOT_LIMIT.
@@ -36,7 +36,7 @@ HOT_LEAST, HOT_LIMIT = 8, 1 << 18
 #: Text bytes that one bucket of the count of shingles stands for.
 BUCKET_BYTES = 24 << 20
 #: Groups on a side of a tile of a block; shingles and sets on a side of a tile of a class.
-TILE_GROUPS, TILE_SHINGLES, TILE_SETS = 4000, 250_000, 1500
+TILE_GROUPS, TILE_SHINGLES, TILE_SETS = 4000, 250_000, 1000
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -187,25 +187,23 @@ def _compatible(a: str, b: str, percent: int):
     return near & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, k: int, name: str) -> DataFrame:
+def _sets_of(wanted: DataFrame, docs: DataFrame, k: int, name: str, rows: int) -> DataFrame:
     """member, items: the whole sets of ``wanted`` (member, rep, sig1, sig2), kept. A doc_id may have several texts, so the
     sums tell which of them is meant."""
-    schema = pa.schema([("member", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("items", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for (_, s), member, one, two in zip(shingle_sets(batch.column(0), k), *[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                if sums(s) == (one, two):
-                    out[0].append(member)
-                    out[1].append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], schema=schema)
+            found = [s for _, s in shingle_sets(batch.column(1), k)]
+            one, two = zip(*map(sums, found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], schema=schema)
 
-    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "member", "sig1", "sig2")
-    return keep(texts.mapInArrow(lean(sets), "member long, items binary").dropDuplicates(["member"]), name)
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")  # ids alone meet texts
+    found = texts.mapInArrow(lean(sets), "rep long, sig1 long, sig2 long, items binary").dropDuplicates(["rep", "sig1", "sig2"])
+    return keep(found.join(wanted, ["rep", "sig1", "sig2"]).select("member", "items"), name, 5 * rows)  # wide rows
 
 
-def _verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, held: DataFrame, percent: int, rows: int) -> DataFrame:
     """The pairs (a, b) of members whose whole sets (``held``: member, items) are similar enough."""
     left = pairs.join(held.select(F.col("member").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(held.select(F.col("member").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
@@ -221,7 +219,7 @@ def _verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * o >= percent * (len(s) + len(t) - o))
             yield pa.RecordBatch.from_pydict({"a": [i for i, g in zip(a, good, strict=True) if g], "b": [i for i, g in zip(b, good, strict=True) if g]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return keep(both.mapInArrow(lean(test), "a long, b long"), "links")
+    return keep(both.mapInArrow(lean(test), "a long, b long"), "links", rows)
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -241,23 +239,26 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1 if len(column) else column
     n, m = len(left), len(both) if right is None else len(right)
     over = np.zeros((n, m), np.float32)
-    width = max(256, (4 << 20) // len(both))
+    width = max(256, (2 << 20) // len(both))
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         i, j = np.searchsorted(column, [a, a + width])
         ones = np.zeros((len(both), min(width, int(column[-1]) + 1 - a)), np.float32)
         ones[row[i:j], column[i:j] - a] = 1
         over += ones[:n] @ (ones if right is None else ones[n:]).T
-    total = size[:n, None] + (size if right is None else size[n:])[None, :]
-    over = over.astype(np.int64)
-    return 100 * over >= percent * (total - over)
+    other = size if right is None else size[n:]
+    out = np.empty((n, m), bool)
+    for a in range(0, n, 256):
+        part = over[a : a + 256].astype(np.int64)
+        out[a : a + 256] = (100 + percent) * part >= percent * (size[a : a + 256, None][: len(part)] + other[None, :])
+    return out
 
 
-def link_counts(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def link_counts(members: DataFrame, held: DataFrame, percent: int, rows: int) -> DataFrame:
     """member, links: with how many documents of other sets a member links, of ``members`` (member, comp, n, copies) in classes of two
     sets or more. Classes go to tasks whole, many small ones together, or, if they are large, in tiles: pairs of hash parts."""
     sizes = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
     sizes = sizes.withColumn("k", F.ceil(F.least(F.greatest(F.col("total") / TILE_SHINGLES, F.col("m") / TILE_SETS), F.col("m") / 2)).cast("long"))
-    some = keep(members.join(sizes.select("comp", "k"), "comp"), "classes")
+    some = keep(members.join(sizes.select("comp", "k"), "comp"), "classes", rows)
     whole = some.filter("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lots = max(1, -(-whole // (4 * TILE_SHINGLES)))
     part = F.pmod(F.xxhash64("member", F.lit(5)), F.col("k"))
@@ -265,7 +266,7 @@ def link_counts(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least("_p", o).alias("i"), F.greatest("_p", o).alias("j"), (F.col("_p") > o).cast("int").alias("side")))
     tiled = some.withColumn("_p", part).withColumn("_t", F.explode(ends))
     unit = F.when(F.col("k") == 1, F.pmod(F.xxhash64("comp"), F.lit(lots))).otherwise(F.xxhash64("comp", "_t.i", "_t.j"))
-    rows = tiled.select(unit.alias("unit"), "comp", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), F.col("_t.side").alias("side"), "member", "copies").join(held, "member")
+    parts = tiled.select(unit.alias("unit"), "comp", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), F.col("_t.side").alias("side"), "member", "copies").join(held, "member")
 
     def count(table: pa.Table) -> pa.Table:
         comp, i, j, side, member, copies = [table[c].to_numpy() for c in ("comp", "i", "j", "side", "member", "copies")]
@@ -290,7 +291,7 @@ def link_counts(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             out[1].append(sums.astype(np.int64))
         return pa.table({"member": np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64), "links": np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64)})
 
-    return rows.groupBy("unit").applyInArrow(lean_group(count), "member long, links long").groupBy("member").agg(F.sum("links").alias("links"))
+    return parts.groupBy("unit").applyInArrow(lean_group(count), "member long, links long").groupBy("member").agg(F.sum("links").alias("links"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 1, count_links: bool = True) -> DataFrame:
@@ -306,37 +307,45 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds:
     classes. An empty table gives no rows; other columns aren't read. The result is a table
     of its own in the shared folder; all else that was written on the way is removed."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    small_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
-        return settle(_classes(docs, k, percent, hub_rounds, count_links), "jaccard-classes")
+        out = _classes(docs, k, percent, hub_rounds, count_links)
+        return settle(out, "jaccard-classes")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links: bool) -> DataFrame:
     spark = docs.sparkSession
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    sets = keep(prefixes(docs, k, percent, *shingle_order(docs, k, text_bytes)), "prefixes")
+    heads = keep(prefixes(docs, k, percent, *shingle_order(docs, k, text_bytes)), "prefixes")
+    n_docs = heads.count()
     release(spark)
+    sets = keep(heads.select("doc_id", "n", "sig1", "sig2", "prefix_sig"), "set-sums", n_docs)
     # members: identical sets; groups: identical prefix and size
     known = sets.filter("n > 0 and doc_id is not null")
-    members = keep(known.groupBy("n", "prefix_sig", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("member", F.monotonically_increasing_id()), "members")
+    members = keep(known.groupBy("n", "prefix_sig", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("member", F.monotonically_increasing_id()), "members", n_docs)
+    n_members = members.count()
     by_group = members.groupBy("n", "prefix_sig").agg(F.min("member").alias("g"), F.min_by("rep", "member").alias("rep"), F.count("*").alias("size"))
-    lead = known.select(F.col("doc_id").alias("rep"), "n", "prefix_sig", "prefix", *BITS)
+    lead = heads.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "n", "prefix_sig", "prefix", *BITS)
     groups = by_group.join(lead, ["rep", "n", "prefix_sig"]).dropDuplicates(["g"])
-    groups = keep(groups.select("g", "n", "prefix_sig", "size", "prefix", *[F.when(F.col("size") == 1, F.col(x)).alias(x) for x in BITS]), "groups")
-    in_group = keep(members.join(groups.select("n", "prefix_sig", "g", "size"), ["n", "prefix_sig"]).select("member", "g", "size"), "in-group")
+    groups = keep(groups.select("g", "n", "prefix_sig", "size", "prefix", *[F.when(F.col("size") == 1, F.col(x)).alias(x) for x in BITS]), "groups", n_members)
+    discard(spark, heads)
+    in_group = keep(members.join(groups.select("n", "prefix_sig", "g", "size"), ["n", "prefix_sig"]).select("member", "g", "size"), "in-group", n_members)
 
     # shingles in the prefixes of two groups or more, by the packed count; groups of several members pair inside themselves
-    def heads(batch):
+    def own(batch):
         column = batch.column(0)
         if len(column):
             yield np.sort(column.flatten().to_numpy().view(np.uint64))
 
     buckets = max(4, -(-text_bytes // (2 * BUCKET_BYTES)))
-    shared = keep(_counts(groups.select("prefix").mapInArrow(_count_map(heads, 1 << 64, buckets), "bucket int, vals binary, counts binary"), 2), "shared-shingles")
+    shared = keep(_counts(groups.select("prefix").mapInArrow(_count_map(own, 1 << 64, buckets), "bucket int, vals binary, counts binary"), 2), "shared-shingles")
     tokens = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
     rows = keep(tokens.join(shared.select(F.col("value").alias("token")), "token"), "blocks")
+    n_rows = rows.count()
+    facts = keep(groups.select("g", "n", *BITS), "group-facts", n_members)
     discard(spark, shared)
+    discard(spark, groups)
     release(spark)
-    facts = groups.select("g", "n", *BITS)
     inner = in_group.filter((F.col("size") > 1) & (F.col("member") != F.col("g"))).select(F.col("g").alias("a"), F.col("member").alias("b"))
 
     mixed = not in_group.filter("size > 1").isEmpty()
@@ -347,7 +356,7 @@ def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links
         spread = in_group.join(comp.withColumnRenamed("node", "member"), "member").groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         labelled = rows.join(spread, "g")
         open_blocks = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("_size")).filter("_lo < _hi").select("token", "_size")
-        live = keep(labelled.join(open_blocks, "token").join(facts, "g"), f"live{turn}")
+        live = keep(labelled.join(open_blocks, "token").join(facts, "g"), f"live{turn}", n_rows)
         if live.isEmpty() and not mixed:
             break
         if turn < hub_rounds:
@@ -383,24 +392,26 @@ def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links
         pairs = keep(pairs.distinct() if turn == 0 and hub_rounds == 0 else pairs, f"pairs{turn}")
         discard(spark, live)
         release(spark)
-        if pairs.isEmpty():
+        n_pairs = pairs.count()
+        if not n_pairs:
             continue
         wanted = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct().join(members.select("member", "rep", "sig1", "sig2"), "member")
         if held is not None:  # sets that an earlier turn read already
             wanted = wanted.join(held.select("member"), "member", "left_anti")
-        more = _sets_of(wanted, docs, k, f"sets{turn}")
+        more = _sets_of(wanted, docs, k, f"sets{turn}", min(2 * n_pairs, n_members))
+        release(spark)
         held = more if held is None else held.unionByName(more)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        good = _verify(pairs, held, percent)
+        good = _verify(pairs, held, percent, n_pairs)
         links = good if links is None else links.unionByName(good)
-        comp = min_label_components(members.select(F.col("member").alias("node")), links)
+        comp = min_label_components(members.select(F.col("member").alias("node")), links, rows=n_members)
         release(spark)
     of = members.join(comp.withColumnRenamed("node", "member"), "member")
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "comp")
     own_links = F.col("copies") - 1
     if count_links and held is not None:
-        counted = link_counts(of.select("member", "comp", "n", "copies"), held, percent)
+        counted = link_counts(of.select("member", "comp", "n", "copies"), held, percent, n_members)
         of = of.join(counted, "member", "left")
         own_links = own_links + F.coalesce("links", F.lit(0))
     of = of.select("n", "prefix_sig", "sig1", "sig2", "component_id", own_links.alias("n_links"))

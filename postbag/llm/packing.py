@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, word_encoder
+from .common import keep, small_batches, word_encoder
 from .ranks import hash_bucket, running_base
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,6 +32,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of each document's ids (then ``end_id``): only those over ``capacity`` are cut, at its multiples."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

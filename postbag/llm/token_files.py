@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_dir, keep, word_encoder
+from .common import file_system, fresh_dir, keep, small_batches, word_encoder
 
 NULL_ID = -(2**63)
 MANIFEST = "path string, width int, first_id long, n_docs long, n_tokens long"
@@ -78,6 +78,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, ordered: boo
     null text is empty (only the end id); an empty table gives no parts. Other
     columns are not read."""
     spark = docs.sparkSession
+    small_batches(spark)
     at = at or fresh_dir(spark, "tokens")
     seen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if ordered:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, file_system, fresh_dir, keep, with_row_keys
+from .common import ROW, file_system, fresh_dir, keep, small_batches, with_row_keys
 
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
@@ -125,6 +125,7 @@ def write_archives(pages: DataFrame, at: str | None = None, least_bytes: int = 0
     empty one. Repeated rows are records of their own. An empty table gives no archives. Other columns
     aren't read. Attempts that fail leave files that the manifest doesn't name."""
     spark = pages.sparkSession
+    small_batches(spark)
     at = at or fresh_dir(spark, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     seen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
