@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 DENSE = 8
-#: Cells of each stratum, multiples of eight: many where the difference of texts of common lengths falls.
+#: Cells of each stratum, powers of two from eight on: many where the difference of texts of common lengths falls.
 CELLS = (64, 64, 32, 32, 32, 16, 16, 16, 16, 16)
 MASK = (1 << 32) - 1
 #: A paragraph ends at a line end or, so that a likeness can tell parts of long paragraphs apart, at a sentence end.
@@ -36,6 +36,19 @@ def _paragraphs(text: Column, separator: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda p: p != "")
 
 
+def _cell_sums(hashes: Column, n: int, total) -> Column:
+    """The sums of the high halves of hashes in each of ``n`` cells: an eighth of the cells first, so that each cell looks through an eighth."""
+    each = (n // 8).bit_length() - 1
+    cell = lambda x: F.shiftrightunsigned(x, 12).bitwiseAND(F.lit(n - 1))
+    placed = F.transform(hashes, lambda x: F.shiftleft(cell(x), 32).bitwiseOR(F.shiftrightunsigned(x, 32)))  # cell above, value below
+    eighths = lambda xs: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.filter(xs, lambda x: F.shiftrightunsigned(x, 32 + each) == k))
+    none = lambda m: F.array_repeat(F.lit(0).cast("bigint"), m)  # noqa: E731  most are empty
+    sums = lambda xs, k: F.transform(F.sequence(k * (1 << each), k * (1 << each) + F.lit((1 << each) - 1)), lambda c: total(F.filter(xs, lambda x: F.shiftrightunsigned(x, 32) == c), _low))
+    inside = lambda xs, k: F.when(F.size(xs) == 0, none(1 << each)).otherwise(sums(xs, k))
+    whole = lambda xs: F.when(F.size(xs) == 0, none(n)).otherwise(F.flatten(F.transform(eighths(xs), inside)))
+    return F.flatten(F.transform(F.array(placed), whole))
+
+
 def fingerprint(text: Column, separator: str = PARAGRAPH_END) -> Column:
     """The lanes (array<bigint>, each from 0 to 2**32 - 1) of a text; a null is like an empty text: all zero.
     Empty paragraphs count nothing."""
@@ -54,11 +67,7 @@ def fingerprint(text: Column, separator: str = PARAGRAPH_END) -> Column:
         rest = F.transform(rows, lambda w: w[0])
         for s, n in enumerate(CELLS):
             own, rest = (F.filter(rest, _bit(s, 0)), F.filter(rest, _bit(s, 1))) if s < len(CELLS) - 1 else (rest, rest)
-            cell = lambda x, n=n: F.pmod(F.shiftrightunsigned(x, 12).bitwiseAND(F.lit(0xFFFFF)), F.lit(n))
-            # eight parts first, so that each cell looks through an eighth
-            part = lambda k, own=own, cell=cell, n=n: F.filter(own, lambda x: F.floor(cell(x) / (n // 8)) == k)
-            inside = lambda k, xs, cell=cell, n=n: F.transform(F.sequence(k * (n // 8), k * (n // 8) + F.lit(n // 8 - 1)), lambda c: total(F.filter(xs, lambda x: cell(x) == c), lambda x: F.shiftrightunsigned(x, 32)))
-            cells.append(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.flatten(F.transform(F.array(part(k)), lambda xs: inside(k, xs))))))
+            cells.append(_cell_sums(own, n, total))
         return F.concat(F.array(F.size(rows).cast("bigint")), *dense, *cells)
 
     return F.transform(F.array(wide), of).getItem(0)
