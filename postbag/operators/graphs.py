@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import connected_components, cut
+from .iterate import connected_components, cut, global_rank, running_sums
 
 
 # --------------------------------------------------------------- construction
@@ -68,6 +68,11 @@ def symmetrise(edges: DataFrame, how: str = "max") -> DataFrame:
     return edges.select("src", "dst", "w").union(swap).groupBy("src", "dst").agg(agg.alias("w")).filter("w <> 0")
 
 
+def drop_small(edges: DataFrame, tol: float) -> DataFrame:
+    """Entries over ``tol`` in size."""
+    return edges.filter(F.abs("w") > tol)
+
+
 def simple(edges: DataFrame) -> DataFrame:
     """Without loops and zeros, all weights 1."""
     return edges.filter("src <> dst and w <> 0").select("src", "dst", F.lit(1).alias("w"))
@@ -83,8 +88,8 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def compact(members: DataFrame) -> DataFrame:
-    """id, new_id: dense numbers from 0 in the order of ids. For export: one window over all ids."""
-    return members.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("new_id"))
+    """id, new_id: dense numbers from 0 in the order of ids."""
+    return global_rank(members.select("id"), ["id"], "new_id").withColumn("new_id", F.col("new_id") - 1)
 
 
 def min_degree(edges: DataFrame, least: int, weighted: bool = False) -> DataFrame:
@@ -266,6 +271,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds:
             if tol and rank.join(new.withColumnRenamed("rank", "r"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("r")))).first()[0] < tol:
                 return new
         rank = new
+    if tol:
+        raise RuntimeError(f"ranks still move after {rounds} rounds")
     return rank
 
 
@@ -274,7 +281,7 @@ def sweep_profile(edges: DataFrame, scores: DataFrame) -> DataFrame:
 
     An edge is cut for the prefixes between its ends' ranks, so it adds at one and
     takes off at the other, and a running sum over ranks gives all cuts at once."""
-    ranked = cut(scores.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")))
+    ranked = cut(global_rank(scores.select("id", "score"), [F.desc("score"), F.asc("id")]))
     total = edges.agg(F.sum("w")).first()[0]
     last = F.lit(1 << 62)
     r = edges.join(ranked.select(F.col("id").alias("src"), F.col("rank").alias("rs")), "src", "left").join(ranked.select(F.col("id").alias("dst"), F.col("rank").alias("rd")), "dst", "left")
@@ -282,9 +289,8 @@ def sweep_profile(edges: DataFrame, scores: DataFrame) -> DataFrame:
     one = both.filter("rs < rd")  # both directions are stored: count one of them
     events = one.select(F.col("rs").alias("rank"), F.col("w").alias("d")).union(one.filter(F.col("rd") < last).select("rd", -F.col("w"))).groupBy("rank").agg(F.sum("d").alias("d"))
     vol = edges.groupBy("src").agg(F.sum("w").alias("dv"))
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = ranked.join(events, "rank", "left").join(vol.withColumnRenamed("src", "id"), "id", "left")
-    rows = rows.select("rank", "id", F.sum(F.coalesce("dv", F.lit(0))).over(w).alias("vol"), F.sum(F.coalesce("d", F.lit(0))).over(w).alias("cut"))
+    rows = running_sums(rows.select("rank", "id", F.coalesce("dv", F.lit(0)).alias("dv"), F.coalesce("d", F.lit(0)).alias("d")), {"vol": "dv", "cut": "d"}).select("rank", "id", "vol", "cut")
     least = F.least("vol", F.lit(total) - F.col("vol"))
     return rows.withColumn("cond", F.when(least > 0, F.col("cut") / least))
 
@@ -297,5 +303,5 @@ def best_sweep(profile: DataFrame, later_ties: bool = True) -> DataFrame:
 def ranking(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Add ``rank`` by descending score, ties by id; or only the top ``k``, without a window over all."""
     if k is not None:
-        scores = scores.orderBy(F.desc("score"), "id").limit(k)
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+        return scores.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # k rows
+    return global_rank(scores, [F.desc("score"), F.asc("id")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import people, symmetrise
-from .iterate import connected_components, cut
+from .iterate import connected_components, cut, global_rank, running_sums
 
 
 # -------------------------------------------------------------- construction
@@ -27,7 +27,7 @@ def merge(hyperedges: DataFrame) -> DataFrame:
 def from_messages(msgs: DataFrame, parts: tuple[str, ...] = ("sender", "recipients"), maxset: int | None = None, focal: int | None = None, mindegree: int = 0) -> DataFrame:
     """edge_id, members, weight from messages: sets of people of at most ``maxset``, without the focal
     person, of two or more; merged; nodes of clique degree under ``mindegree`` taken out in one pass;
-    merged again; the largest component of the star expansion."""
+    merged again (an edge that is left with one node stays); the largest component of the star expansion, nodes and edges counted."""
     p = msgs.select(F.col("msg_id").alias("edge_id"), people(parts).alias("members"))
     if maxset is not None:
         p = p.filter(F.size("members") <= maxset)
@@ -41,7 +41,7 @@ def from_messages(msgs: DataFrame, parts: tuple[str, ...] = ("sender", "recipien
     star = star_expansion(to_incidence(h))
     ends = star.select(F.col("src").alias("id")).distinct()
     comp = cut(connected_components(ends, star))
-    size = comp.filter("id >= 0").groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
+    size = comp.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
     inside = comp.join(F.broadcast(size), "component", "left_semi").filter("id < 0").select((-F.col("id") - 1).alias("edge_id"))  # a single row
     return h.join(inside, "edge_id", "left_semi")
 
@@ -78,7 +78,7 @@ def gadget_edges(hyperedges: DataFrame, n: int, delta: float, pair_orders: int =
     k = F.size("members")
     small = hyperedges.filter((k >= 2) & (k <= pair_orders)).select("members", F.when(k == 2, F.col("weight") * 1.0).otherwise(F.col("weight") / 2.0).alias("w"))
     pairs = small.select(F.explode("members").alias("src"), "members", "w").select("src", F.explode("members").alias("dst"), "w").filter("src <> dst")
-    large = hyperedges.filter(k > pair_orders).withColumn("aux", F.lit(n) + 2 * (F.row_number().over(Window.orderBy("edge_id")) - 1))
+    large = global_rank(hyperedges.filter(k > pair_orders), ["edge_id"], "aux").withColumn("aux", F.lit(n) + 2 * (F.col("aux") - 1))
     into = large.select(F.explode("members").alias("src"), F.col("aux").alias("dst"), (F.col("weight") * 1.0).alias("w"))
     out = large.select((F.col("aux") + 1).alias("src"), F.explode("members").alias("dst"), (F.col("weight") * 1.0).alias("w"))
     through = large.select(F.col("aux").alias("src"), (F.col("aux") + 1).alias("dst"), (F.col("weight") * delta).alias("w"))
@@ -130,22 +130,23 @@ def local_conductance(incidence: DataFrame, seeds: DataFrame, members_: DataFram
     return c.join(inner).select("cut", "vol", F.when(base > 0, F.col("cut") / base).alias("lcond"))  # one row each
 
 
-def sweep_profile(incidence: DataFrame, scores: DataFrame, delta: float) -> DataFrame:
-    """rank, node_id, vol, cut, cond of each prefix of ``scores`` (node_id, score; top first, ties by id; zeros end it).
+def sweep_profile(incidence: DataFrame, scores: DataFrame, delta: float, least: int = 0) -> DataFrame:
+    """rank, node_id, vol, cut, cond of each prefix of ``scores`` (node_id, score; top first, ties by id; zeros end it) of
+    ``least`` nodes or more.
 
     Inside a hyperedge the j-th arrival moves min(j, order - j, delta) by a known step; steps add up
     by rank and one running sum gives the cut of all prefixes."""
-    ranked = cut(scores.filter("score > 0").select("node_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "node_id")).alias("rank")))
+    ranked = cut(global_rank(scores.filter("score > 0").select("node_id", "score"), [F.desc("score"), F.asc("node_id")]))
     total = incidence.count()
     arrive = incidence.join(ranked.select("node_id", "rank"), "node_id").join(order(incidence), "edge_id")
     j = F.row_number().over(Window.partitionBy("edge_id").orderBy("rank"))
     a = arrive.withColumn("j", j)
     pen = lambda k: F.least(k, F.col("order") - k, F.lit(delta))
     steps = a.groupBy("rank").agg(F.sum(pen(F.col("j")) - pen(F.col("j") - 1)).alias("d"), F.count("*").alias("dv"))
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranked.join(steps, "rank", "left").select("rank", "node_id", F.sum(F.coalesce("dv", F.lit(0))).over(w).alias("vol"), F.sum(F.coalesce("d", F.lit(0.0))).over(w).alias("cut"))
-    least = F.least("vol", F.lit(total) - F.col("vol"))
-    return rows.withColumn("cond", F.when(least > 0, F.col("cut") / least))
+    rows = ranked.join(steps, "rank", "left").select("rank", "node_id", F.coalesce("dv", F.lit(0)).alias("dv"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    rows = running_sums(rows, {"vol": "dv", "cut": "d"}).select("rank", "node_id", "vol", "cut")
+    smaller = F.least("vol", F.lit(total) - F.col("vol"))
+    return rows.withColumn("cond", F.when(smaller > 0, F.col("cut") / smaller)).filter(F.col("rank") >= least)
 
 
 # -------------------------------------------------------------- neighbourhoods

@@ -7,7 +7,7 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
+    """Add ``out``: 1, 2, ... in the order of ``order`` (ties in all of it as they come), without a window over all rows.
+
+    Rows are dealt into ranges and sorted there; a row's number in its range is the low part of its partition's
+    running id, and a prefix sum over the ranges (a row each) gives where a range begins."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.col("_at") + 1).drop("_part", "_at", "_base")
+
+
+def running_sums(ranked: DataFrame, values: dict[str, str], rank: str = "rank", each: int = 50_000) -> DataFrame:
+    """Add running sums of columns (``values``: new name to column) over rows up to each ``rank`` (1, 2, ... without gaps), in blocks of
+    ``each`` ranks and a prefix sum over the blocks."""
+    seen = ranked.withColumn("_block", F.floor((F.col(rank) - 1) / each))
+    inside = Window.partitionBy("_block").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    totals = seen.groupBy("_block").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in values.items()])
+    bases = totals.select("_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    run = seen.withColumns({f"_r_{n}": F.sum(c).over(inside) for n, c in values.items()}).join(bases, "_block")
+    return run.withColumns({n: F.col(f"_r_{n}") + F.col(f"_b_{n}") for n in values}).drop("_block", *[f"{x}_{n}" for n in values for x in ("_r", "_b")])
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], bool], most: int = 100, every: int = 1) -> DataFrame:
     """Apply ``step`` until ``changed(old, new)`` is false; lineage is cut every ``every`` rounds."""
     state = cut(state)

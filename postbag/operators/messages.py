@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import global_rank
+
 
 def role_rows(msgs: DataFrame) -> DataFrame:
     """id, role: a row each time that someone sends, receives or is copied."""
@@ -25,8 +27,7 @@ def role_ranks(counts: DataFrame) -> DataFrame:
     """Rank by each role (ties by id); null where the count is 0."""
     out = counts
     for r in ("sent", "received", "copied"):
-        rank = F.row_number().over(Window.orderBy(F.desc(r), "id"))  # a row a person
-        out = out.withColumn(f"{r}_rank", F.when(F.col(r) > 0, rank))
+        out = global_rank(out, [F.desc(r), F.asc("id")], "_r").withColumn(f"{r}_rank", F.when(F.col(r) > 0, F.col("_r"))).drop("_r")
     return out.select("id", "sent_rank", "received_rank", "copied_rank")
 
 
@@ -52,10 +53,9 @@ def org_vote(memberships: DataFrame, other: int) -> DataFrame:
 
 def rank_compare(results: dict[str, DataFrame], k: int) -> DataFrame:
     """The top ``k`` of the first result (id, score) with everyone's rank in the others; null where absent."""
-    names = list(results)
     out = None
-    for name in names:
-        r = results[name].select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias(f"{name}_rank"))
+    for name, scores in results.items():
+        r = global_rank(scores.select("id", "score"), [F.desc("score"), F.asc("id")], f"{name}_rank").drop("score")
         out = r.filter(F.col(f"{name}_rank") <= k) if out is None else out.join(r, "id", "left")
     return out
 
@@ -63,7 +63,7 @@ def rank_compare(results: dict[str, DataFrame], k: int) -> DataFrame:
 def dictionary(values: DataFrame) -> DataFrame:
     """value, code: numbers from 0 by first appearance, of (seq, value)."""
     first = values.groupBy("value").agg(F.min("seq").alias("first"))
-    return first.select("value", (F.row_number().over(Window.orderBy("first", "value")) - 1).alias("code"))  # a row a distinct value
+    return global_rank(first, ["first", "value"], "code").select("value", (F.col("code") - 1).alias("code"))
 
 
 def overlay(base: DataFrame, fixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,6 +94,8 @@ def set_differences(sets: DataFrame) -> DataFrame:
     size = sets.groupBy("label").agg(F.count("*").alias("size"))
     x, y = sets.select("id", F.col("label").alias("a")), sets.select("id", F.col("label").alias("b"))
     shared = x.join(y, "id").groupBy("a", "b").agg(F.count("*").alias("both"))
+    if (n := size.count()) > 2_000:
+        raise ValueError(f"{n} named sets have {n * n} pairs; the matrix is for 2000 sets at most")
     # a row a pair of set names
     pairs = size.select(F.col("label").alias("a"), "size").join(F.broadcast(size.select(F.col("label").alias("b"))))
     return pairs.join(shared, ["a", "b"], "left").select("a", "b", (F.col("size") - F.coalesce("both", F.lit(0))).alias("n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import symmetrise, to_from_edges
+from .graphs import symmetrise
 from .iterate import cut
 
 
@@ -55,21 +57,32 @@ def entries_per_node(tedges: DataFrame) -> DataFrame:
     return both.groupBy("day", F.col("src").alias("id")).agg(F.count("*").alias("entries"))
 
 
-def reachability(tedges: DataFrame, vertices: DataFrame, every: int = 4) -> DataFrame:
+def reachability(tedges: DataFrame, vertices: DataFrame, same_day: bool = False) -> DataFrame:
     """src, dst where a path of edges on strictly later and later days leads from src to dst (and src = dst).
 
     Days run backwards. On a day, who writes to j gains all that j could reach before that day; edges of
-    one day don't chain. Each step joins only the day's edges; history is cut every few days."""
+    one day don't chain, but with ``same_day`` a day's strongly connected components of more than two reach alike.
+    A step joins only the day's edges, only new pairs are added, and history is cut, since each step reads the pairs twice."""
     days = [r.day for r in tedges.select("day").distinct().orderBy(F.desc("day")).collect()]  # a row a day
     reach = vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    tedges = cut(tedges)
-    for i, day in enumerate(days):
-        e = tedges.filter(F.col("day") == F.lit(day)).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-        gained = e.join(reach, e.b == reach.src).select(F.col("a").alias("src"), "dst")
-        reach = reach.union(gained).distinct()
-        if i % every == every - 1:
-            reach = cut(reach)
-    return cut(reach)
+    tedges = cut(tedges.select("day", "src", "dst").distinct())
+    parts = None
+    if same_day:
+        from .bounded import strong_components
+
+        parts = strong_components(tedges)
+        big = parts.groupBy("day", "component").agg(F.count("*").alias("n")).filter("n > 2")
+        parts = cut(parts.join(big, ["day", "component"], "left_semi"))
+    for day in days:
+        e = tedges.filter(F.col("day") == F.lit(day)).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        gained = e.join(reach, e.b == reach.src).select(F.col("a").alias("src"), "dst").distinct()
+        reach = cut(reach.union(gained.join(reach, ["src", "dst"], "left_anti")))
+        if parts is not None:  # all of a component reach what one of them reaches
+            own = parts.filter(F.col("day") == F.lit(day)).select("id", "component")
+            theirs = reach.join(own, reach.src == own.id).select("component", "dst").distinct()
+            alike = own.join(theirs, "component").select(F.col("id").alias("src"), "dst")
+            reach = cut(reach.union(alike).distinct())
+    return reach
 
 
 def multislice(tedges: DataFrame, gamma: float = 1.0, omega: float = 0.5) -> DataFrame:
@@ -90,31 +103,37 @@ def multislice(tedges: DataFrame, gamma: float = 1.0, omega: float = 0.5) -> Dat
     return inside.select(F.col("t").alias("t1"), "i", F.col("t").alias("t2"), "j", "w").union(link)
 
 
-def communicability(tedges: DataFrame, vertices: DataFrame, a: float = 0.02, terms: int = 8) -> DataFrame:
+def communicability(tedges: DataFrame, vertices: DataFrame, a: float = 0.02, tol: float = 1e-10, most: int = 500) -> DataFrame:
     """id, broadcast, receive: row and column sums of the product of (I - a A_t)^-1 over ascending days.
 
-    Only vectors are carried: each inverse acts by ``terms`` terms of its series (a times the largest degree must be
-    under 1), from the last day back for broadcast and from the first on for receive. The series is nested,
-    y = x + a A (x + a A (...)), so a day's plan has one join a term."""
-    days = [r.day for r in tedges.select("day").distinct().orderBy("day").collect()]  # a row a day
-    tedges = cut(tedges)
-
-    def solve(x: DataFrame, day, forward: bool) -> DataFrame:
-        e = tedges.filter(F.col("day") == F.lit(day))
-        to, at = ("dst", "src") if forward else ("src", "dst")
-        y = x
-        for _ in range(terms):
-            moved = e.join(y, e[at] == y.id).select(F.col(to).alias("id"), (a * F.col("w") * F.col("v")).alias("v"))
-            y = x.union(moved).groupBy("id").agg(F.sum("v").alias("v"))
-        return cut(y)
-
-    out = {}
-    for name, order, forward in (("broadcast", reversed(days), False), ("receive", days, True)):
-        x = cut(vertices.select("id", F.lit(1.0).alias("v")))
-        for day in order:
-            x = solve(x, day, forward)
-        out[name] = x
-    return out["broadcast"].withColumnRenamed("v", "broadcast").join(out["receive"].withColumnRenamed("v", "receive"), "id")
+    Only vectors are carried, and all days move together: the value of a vertex at a day is 1 and what edges brought it on that
+    day and those before (receive; for broadcast after, against the edges), so a round is one join and one running sum a vertex, and
+    the number of rounds doesn't depend on that of days. Raises where a times a day's largest degree isn't under 1 (the
+    inverses are no series then), or if ``most`` rounds leave a value that moves by more than ``tol`` of itself."""
+    tedges = cut(tedges.select(F.datediff("day", F.lit("1970-01-01").cast("date")).alias("t"), "src", "dst", "w"))
+    degrees = [tedges.groupBy("t", side).agg(F.sum("w").alias("d")).agg(F.max("d")).first()[0] or 0 for side in ("src", "dst")]
+    if a * min(degrees) >= 1:
+        raise ValueError(f"a = {a} times a day's largest degree, {min(degrees)}, isn't under 1")
+    w = (F.col("w") * a).cast("double").alias("w")
+    there = tedges.select(F.lit("broadcast").alias("way"), (-F.col("t")).alias("t"), F.col("dst").alias("at"), F.col("src").alias("to"), w)
+    back = tedges.select(F.lit("receive").alias("way"), "t", F.col("src").alias("at"), F.col("dst").alias("to"), w)
+    arcs = cut(there.union(back))
+    asked = cut(arcs.select("way", "t", F.col("at").alias("id")).distinct())
+    value = asked.withColumn("v", F.lit(1.0))
+    gained = None
+    for turn in range(most):
+        gained = arcs.join(value.withColumnRenamed("id", "at"), ["way", "t", "at"]).groupBy("way", "t", F.col("to").alias("id")).agg(F.sum(F.col("w") * F.col("v")).alias("m"))
+        both = gained.withColumn("v", F.lit(None).cast("double")).unionByName(value.withColumn("m", F.lit(None).cast("double")))
+        so_far = Window.partitionBy("way", "id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+        new = cut(both.withColumn("new", F.lit(1.0) + F.coalesce(F.sum("m").over(so_far), F.lit(0.0))).filter("v is not null").select("way", "t", "id", "v", "new"))
+        moved = new.agg(F.max(F.abs(F.col("new") - F.col("v")) / F.col("new"))).first()[0] or 0.0
+        value = new.select("way", "t", "id", F.col("new").alias("v"))
+        if moved <= tol:
+            break
+    else:
+        raise RuntimeError(f"values still move after {most} rounds")
+    total = arcs.join(value.withColumnRenamed("id", "at"), ["way", "t", "at"]).groupBy(F.col("to").alias("id")).agg(*[F.sum(F.when(F.col("way") == x, F.col("w") * F.col("v"))).alias(x) for x in ("broadcast", "receive")])
+    return vertices.select("id").join(total, "id", "left").select("id", *[(1.0 + F.coalesce(x, F.lit(0.0))).alias(x) for x in ("broadcast", "receive")])
 
 
 def trailing_sum(values: DataFrame, keys: list[str], days: int = 7, decay: float | None = None) -> DataFrame:
@@ -126,24 +145,55 @@ def trailing_sum(values: DataFrame, keys: list[str], days: int = 7, decay: float
     return spread.join(F.broadcast(last)).filter("day <= _last").groupBy(*keys, "day").agg(F.sum(w).alias("total"))  # a single row
 
 
-def fading_memory(tedges: DataFrame, gamma: float = 0.5, tol: float = 0.0) -> DataFrame:
-    """day, src, dst, f: memory f = gamma * f + w over consecutive slices, entries at most ``tol`` forgotten.
-    One ordered fold a pair, inside a row: a pair's slices are bounded by the number of days."""
-    days = tedges.select("day").distinct().withColumn("t", F.row_number().over(Window.orderBy("day")) - 1)  # a row a day
-    last = days.agg(F.max("t").alias("last"))
-    seen = tedges.join(F.broadcast(days), "day").groupBy("src", "dst").agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("w").cast("double")))).alias("m"), F.min("t").alias("t0")).join(F.broadcast(last))
-    zero = F.array().cast("array<struct<t:int,f:double>>")
+def _forgetful(gamma: float, tol: float):
+    """A function over batches of (src, dst, t, w) sorted by them: f at each row, where what is at most ``tol`` after a slice is forgotten."""
+
+    def fold(batches):
+        pair, t0, f = None, 0, 0.0
+        for pdf in batches:
+            out = []
+            for src, dst, t, w in zip(pdf["src"], pdf["dst"], pdf["t"], pdf["w"], strict=True):
+                if (src, dst) != pair:
+                    pair, f = (src, dst), 0.0
+                elif t - t0 > 1 and abs(f := f * gamma ** (t - t0 - 1)) <= tol:
+                    f = 0.0
+                f = gamma * f + w
+                f, t0 = (f if abs(f) > tol else 0.0), t
+                out.append(f)
+            yield pdf[["src", "dst", "t"]].assign(f=out)
 
-    def step(acc, t):
-        f = F.coalesce(F.element_at(acc, -1)["f"], F.lit(0.0)) * gamma + F.coalesce(F.try_element_at("m", t), F.lit(0.0))
-        kept = F.when(F.abs(f) > tol, f).otherwise(F.lit(0.0))
-        return F.concat(acc, F.array(F.struct(t.alias("t"), kept.alias("f"))))
+    return fold
 
-    def first_or_step(acc, t):
-        return F.when(F.size(acc) == 0, F.array(F.struct(t.alias("t"), F.coalesce(F.try_element_at("m", t), F.lit(0.0)).alias("f")))).otherwise(step(acc, t))
 
-    folded = seen.select("src", "dst", F.explode(F.aggregate(F.sequence("t0", "last"), zero, first_or_step)).alias("x")).select("src", "dst", "x.t", "x.f").filter("f <> 0")
-    return folded.join(F.broadcast(days), "t").select("day", "src", "dst", "f")
+def fading_memory(tedges: DataFrame, gamma: float = 0.5, tol: float = 0.0, calendar: bool = False) -> DataFrame:
+    """day, src, dst, f: memory f = gamma * f + w over consecutive slices (``calendar``: over all days from first to last), entries at
+    most ``tol`` forgotten (0 < gamma < 1).
+
+    Without forgetting, f at a pair's own slices is a running sum of w * gamma^-t, in spans of slices short enough for doubles; what
+    an earlier span brought is added once. With it, rows sorted by pair and slice are folded one after the other. Between a
+    pair's own slices f falls by gamma a slice, so rows in between are powers of it, as many as stay over ``tol``."""
+    slices = all_days(tedges) if calendar else tedges.select("day").distinct()
+    days = slices.withColumn("t", F.row_number().over(Window.orderBy("day")) - 1)  # a row a day
+    last = days.agg(F.max("t").alias("last"))
+    seen = tedges.join(F.broadcast(days), "day").groupBy("src", "dst", "t").agg(F.sum(F.col("w").cast("double")).alias("w"))
+    g = F.lit(float(gamma))
+    if tol > 0:
+        kinds = dict(seen.dtypes)
+        at = seen.repartition("src", "dst").sortWithinPartitions("src", "dst", "t").mapInPandas(_forgetful(gamma, tol), f"src {kinds['src']}, dst {kinds['dst']}, t int, f double")
+    else:
+        span = max(1, int(200 * math.log(2) / -math.log(gamma)))  # gamma^-span is 2^200
+        scaled = seen.withColumn("_b", F.floor(F.col("t") / span)).withColumn("_s", F.col("w") * F.pow(1 / g, F.col("t") - F.col("_b") * span))
+        run = scaled.withColumn("_r", F.sum("_s").over(Window.partitionBy("src", "dst", "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+        # a span's end at the base of the next one; what comes from further back is under the precision of doubles
+        carried = run.groupBy("src", "dst", (F.col("_b") + 1).alias("_b")).agg((F.max_by("_r", "t") * F.pow(g, F.lit(span))).alias("_c"))
+        at = run.join(carried, ["src", "dst", "_b"], "left").select("src", "dst", "t", ((F.coalesce("_c", F.lit(0.0)) + F.col("_r")) * F.pow(g, F.col("t") - F.col("_b") * span)).alias("f"))
+    reach = at.withColumn("_next", F.lead("t").over(Window.partitionBy("src", "dst").orderBy("t"))).join(F.broadcast(last))  # a single row
+    to = F.coalesce(F.col("_next") - 1, F.col("last"))
+    if tol > 0:
+        to = F.least(to, F.col("t") + F.greatest(F.ceil(F.log(F.lit(tol) / F.abs("f")) / math.log(gamma)), F.lit(0)).cast("int"))
+    rows = reach.filter("f <> 0").withColumn("_d", F.explode(F.sequence(F.lit(0), (to - F.col("t")).cast("int"))))
+    rows = rows.select("src", "dst", (F.col("t") + F.col("_d")).alias("t"), (F.col("f") * F.pow(g, F.col("_d"))).alias("f"))
+    return rows.filter(F.abs("f") > tol).join(F.broadcast(days), "t").select("day", "src", "dst", "f")
 
 
 def as_of(frames: DataFrame, slices: DataFrame) -> DataFrame:
@@ -170,7 +220,3 @@ def drop_single_link(tedges: DataFrame, node: int, skip: int = 2) -> DataFrame:
     days = tedges.select("day").distinct().withColumn("t", F.row_number().over(Window.orderBy("day")))  # a row a day
     kept = tedges.join(F.broadcast(days.filter(F.col("t") > skip)), "day", "left_semi")
     return kept.join(weak.withColumnRenamed("id", "src"), "src", "left_anti").join(weak.withColumnRenamed("id", "dst"), "dst", "left_anti").select("day", "src", "dst", "w")
-
-
-def message_edges(msgs: DataFrame, **options) -> DataFrame:
-    return to_from_edges(msgs, **options)

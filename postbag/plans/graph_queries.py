@@ -9,8 +9,7 @@ from ..operators.iterate import connected_components
 from . import views as v
 from .registry import query
 
-JAN = ("1996-01-01", "1996-02-01")
-MSG, MSG_JAN = v.msg_sql(), v.msg_sql(*JAN)
+MSG = v.msg_sql()
 TO = "e AS (SELECT sender AS src, unnest(recipients) AS dst FROM {m} WHERE len(recipients) <= 5)"
 A0 = "a0 AS (SELECT src, dst, count(*)::BIGINT AS w FROM e GROUP BY ALL)"
 SYM = "a AS (SELECT src, dst, max(w)::BIGINT AS w FROM (SELECT src, dst, w FROM a0 UNION ALL SELECT dst, src, w FROM a0) GROUP BY ALL)"
@@ -20,12 +19,12 @@ def graph_sql(m: str = MSG) -> str:
     return f"WITH {m}, {TO.format(m='msg')}, {A0}, {SYM}, {v.PERSON_SQL}"
 
 
-G, GJ = graph_sql(), graph_sql(MSG_JAN)
+G = graph_sql()
 
 
-def graph(spark, d, window=None):
+def graph(spark, d):
     """To-from graph of at most five others, symmetric."""
-    return graphs.symmetrise(graphs.to_from_edges(v.messages(spark, d, *(window or ())), maxset=5))
+    return graphs.symmetrise(graphs.to_from_edges(v.messages(spark, d), maxset=5))
 
 
 @query(f"WITH {MSG} SELECT count(DISTINCT thread)::BIGINT AS threads, count(*)::BIGINT AS messages FROM msg")
@@ -118,19 +117,19 @@ def projection_edges_fractional(spark, d):
     return graphs.projection_edges(v.messages(spark, d), maxset=6, fractional=True).withColumn("w", F.round("w", 6))
 
 
-@query(f"{GJ}, g AS (SELECT src AS id FROM a GROUP BY src HAVING count(*) >= 8) SELECT src, dst, w FROM a WHERE src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g)")
+@query(f"{G}, g AS (SELECT src AS id FROM a GROUP BY src HAVING count(*) >= 60) SELECT src, dst, w FROM a WHERE src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g)")
 def mindegree_one_pass(spark, d):
-    return graphs.min_degree(graph(spark, d, JAN), 8)
+    return graphs.min_degree(graph(spark, d), 60)
 
 
-@query(f"{GJ} SELECT x.src, x.dst, least(x.w, y.w) AS w FROM a0 x JOIN a0 y ON x.src = y.dst AND x.dst = y.src")
+@query(f"{G} SELECT x.src, x.dst, least(x.w, y.w) AS w FROM a0 x JOIN a0 y ON x.src = y.dst AND x.dst = y.src")
 def mutual_edges(spark, d):
-    return graphs.symmetrise(graphs.to_from_edges(v.messages(spark, d, *JAN), maxset=5), "min")
+    return graphs.symmetrise(graphs.to_from_edges(v.messages(spark, d), maxset=5), "min")
 
 
-@query(f"{GJ} SELECT src, dst, sum(w)::BIGINT AS w FROM (SELECT src, dst, w FROM a0 UNION ALL SELECT dst, src, w FROM a0) GROUP BY ALL")
+@query(f"{G} SELECT src, dst, sum(w)::BIGINT AS w FROM (SELECT src, dst, w FROM a0 UNION ALL SELECT dst, src, w FROM a0) GROUP BY ALL")
 def summed_edges(spark, d):
-    return graphs.symmetrise(graphs.to_from_edges(v.messages(spark, d, *JAN), maxset=5), "sum")
+    return graphs.symmetrise(graphs.to_from_edges(v.messages(spark, d), maxset=5), "sum")
 
 
 @query(f"{G}, {REPLY.replace(' e AS', ' f AS')}, b AS (SELECT src, dst, count(*) AS w FROM f GROUP BY ALL) SELECT src, dst, sum(w)::BIGINT AS w FROM (SELECT src, dst, w FROM a UNION ALL SELECT src, dst, -w FROM b) GROUP BY ALL HAVING sum(w) <> 0")
@@ -185,9 +184,9 @@ def min_scaled_ncut_by_org(spark, d):
     return graphs.min_scaled_ncut(graph(spark, d), org_sets(spark, d)).select("label", F.round("scaled_ncut", 12).alias("scaled_ncut"))
 
 
-@query(f"{GJ}, {SETS} SELECT src, dst, w, x.label AS src_label, y.label AS dst_label FROM a JOIN s x ON x.id = src JOIN s y ON y.id = dst WHERE src < dst AND x.label <> y.label")
+@query(f"{G}, {SETS} SELECT src, dst, w, x.label AS src_label, y.label AS dst_label FROM a JOIN s x ON x.id = src JOIN s y ON y.id = dst WHERE src < dst AND x.label <> y.label")
 def cut_edges_by_org(spark, d):
-    return graphs.cut_edges(graph(spark, d, JAN), org_sets(spark, d))
+    return graphs.cut_edges(graph(spark, d), org_sets(spark, d))
 
 
 @query(
@@ -209,11 +208,12 @@ def rank_compare(spark, d):
     return messages.rank_compare({"tofrom": one, "reply": two}, 15)
 
 
-COMPONENTS = f"WITH RECURSIVE {MSG_JAN}, e AS (SELECT sender AS src, unnest(recipients) AS dst FROM msg WHERE len(recipients) <= 1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS id, src AS x FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.x), c AS (SELECT id, min(x) AS component FROM r GROUP BY id)"
+COMPONENTS = f"WITH RECURSIVE {MSG}, e AS (SELECT src, dst FROM (SELECT sender AS src, unnest(recipients) AS dst FROM msg WHERE len(recipients) <= 1) GROUP BY ALL HAVING count(*) >= 3), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS id, src AS x FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.x), c AS (SELECT id, min(x) AS component FROM r GROUP BY id)"
 
 
 def sparse(spark, d):
-    return graphs.symmetrise(graphs.to_from_edges(v.messages(spark, d, *JAN), maxset=1))
+    """Of messages to one person, the pairs that have three or more."""
+    return graphs.symmetrise(graphs.drop_small(graphs.to_from_edges(v.messages(spark, d), maxset=1), 2))
 
 
 @query(f"{COMPONENTS} SELECT * FROM c")
@@ -232,12 +232,12 @@ def outside_component(spark, d):
     return graphs.outside_component(v.persons(spark, d), sparse(spark, d)).select("id", "name")
 
 
-@query(f"WITH RECURSIVE {MSG_JAN}, e AS (SELECT sender AS src, unnest(recipients) AS dst FROM msg WHERE len(recipients) <= 1), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT dst, hop + 1 FROM r JOIN u ON src = id WHERE hop < 3) SELECT id::BIGINT AS id, min(hop)::INT AS hop FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {MSG}, e AS (SELECT src, dst FROM (SELECT sender AS src, unnest(recipients) AS dst FROM msg WHERE len(recipients) <= 1) GROUP BY ALL HAVING count(*) >= 3), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT dst, hop + 1 FROM r JOIN u ON src = id WHERE hop < 3) SELECT id::BIGINT AS id, min(hop)::INT AS hop FROM r GROUP BY id")
 def khop(spark, d):
     return graphs.khop(sparse(spark, d), v.persons(spark, d).filter("id % 10 = 1").select("id"), 3)
 
 
-PR = [f"{GJ}, o AS (SELECT src, sum(w) AS o FROM a GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM person), x0 AS (SELECT id, 1 / n AS r FROM person, n)"]
+PR = [f"{G}, o AS (SELECT src, sum(w) AS o FROM a GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM person), x0 AS (SELECT id, 1 / n AS r FROM person, n)"]
 for _i in range(1, 11):
     PR.append(
         f"m{_i} AS (SELECT person.id, coalesce(sum(a.w / o.o * r), 0) AS m FROM person LEFT JOIN (a JOIN o USING (src) JOIN x{_i - 1} ON x{_i - 1}.id = a.src) ON a.dst = person.id GROUP BY person.id), "
@@ -247,22 +247,22 @@ for _i in range(1, 11):
 
 @query(", ".join(PR) + " SELECT id, round(r, 9) AS rank FROM x10")
 def pagerank_10iters(spark, d):
-    return graphs.pagerank(v.persons(spark, d), graph(spark, d, JAN), rounds=10).select("id", F.round("rank", 9).alias("rank"))
+    return graphs.pagerank(v.persons(spark, d), graph(spark, d), rounds=10).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(f"{GJ}, k AS (SELECT DISTINCT src, dst FROM a WHERE src < dst) SELECT x.src AS a, x.dst AS b, y.dst AS c FROM k x JOIN k y ON x.dst = y.src JOIN k z ON z.src = x.src AND z.dst = y.dst")
+@query(f"{G}, k AS (SELECT DISTINCT src, dst FROM a WHERE src < dst) SELECT x.src AS a, x.dst AS b, y.dst AS c FROM k x JOIN k y ON x.dst = y.src JOIN k z ON z.src = x.src AND z.dst = y.dst")
 def triangles(spark, d):
-    return graphs.triangles(graph(spark, d, JAN))
+    return graphs.triangles(graph(spark, d))
 
 
-SWEEP = f"""{GJ}, sc AS (SELECT id, coalesce(sum(w), 0) AS score FROM person LEFT JOIN a ON dst = id GROUP BY id), k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc),
+SWEEP = f"""{G}, sc AS (SELECT id, coalesce(sum(w), 0) AS score FROM person LEFT JOIN a ON dst = id GROUP BY id), k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc),
 v AS (SELECT x.rank, x.id, (SELECT coalesce(sum(w), 0) FROM a JOIN k y ON y.id = a.src WHERE y.rank <= x.rank) AS vol,
 (SELECT coalesce(sum(w), 0) FROM a JOIN k y ON y.id = a.src JOIN k z ON z.id = a.dst WHERE y.rank <= x.rank AND z.rank > x.rank) AS cut FROM k x)"""
 
 
 @query(f"{SWEEP} SELECT rank, id, vol::BIGINT AS vol, cut::BIGINT AS cut, CASE WHEN least(vol, (SELECT sum(w) FROM a) - vol) > 0 THEN round((cut / least(vol, (SELECT sum(w) FROM a) - vol))::DOUBLE, 9) END AS cond FROM v")
 def sweep_profile(spark, d):
-    e = graph(spark, d, JAN)
+    e = graph(spark, d)
     s = v.persons(spark, d).select("id").join(graphs.weighted_degree(e), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("score"))
     return graphs.sweep_profile(e, s).withColumn("cond", F.round("cond", 9))
 
@@ -300,30 +300,34 @@ def version_differences(spark, d):
     return messages.version_differences(p, new, ["id"], ["name", "org"])
 
 
-@query(f"WITH {MSG_JAN}, e AS (SELECT sender AS src, unnest(recipients) AS dst FROM msg), a AS (SELECT src, dst, count(*)::BIGINT AS w FROM e GROUP BY ALL), {v.PERSON_SQL} SELECT x.id + 1000 AS src, y.id + 1000 AS dst, w FROM a JOIN person x ON x.id = src JOIN person y ON y.id = dst WHERE x.org < 12 AND y.org < 12")
+@query(f"WITH {MSG}, e AS (SELECT sender AS src, unnest(recipients) AS dst FROM msg), a AS (SELECT src, dst, count(*)::BIGINT AS w FROM e GROUP BY ALL), {v.PERSON_SQL} SELECT x.id + 1000 AS src, y.id + 1000 AS dst, w FROM a JOIN person x ON x.id = src JOIN person y ON y.id = dst WHERE x.org < 12 AND y.org < 12")
 def realigned_edges(spark, d):
     p = v.persons(spark, d)
     onto = p.filter("org < 12").select((F.col("id") + 1000).alias("id"), "name")
-    return graphs.realign(graphs.to_from_edges(v.messages(spark, d, *JAN)), p, onto)
+    return graphs.realign(graphs.to_from_edges(v.messages(spark, d)), p, onto)
 
 
-# rows only: kernels, held against brute force and known values in tests
-@query()
+# walks of each length from each vertex; at the least length they are the shortest paths
+BETWEEN = f"""WITH RECURSIVE {MSG}, {TO.format(m='msg')}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst), vx AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+k AS (SELECT id AS s, id AS v, 0 AS d, 1.0::DOUBLE AS c FROM vx UNION ALL SELECT k.s, u.dst, k.d + 1, sum(k.c) FROM k JOIN u ON u.src = k.v WHERE k.d < 6 GROUP BY k.s, u.dst, k.d + 1),
+q AS (SELECT s, v, min(d) AS d, arg_min(c, d) AS c FROM k GROUP BY s, v),
+b AS (SELECT x.v AS id, sum(x.c * y.c / z.c) / 2 AS b FROM q x JOIN q y ON y.s = x.v JOIN q z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.s <> x.v AND y.v <> x.v AND y.v <> x.s GROUP BY x.v)"""
+
+
+@query(f"{BETWEEN} SELECT vx.id, round(coalesce(b, 0), 6) AS betweenness FROM vx LEFT JOIN b ON b.id = vx.id")
 def betweenness(spark, d):
-    return bounded.betweenness(graph(spark, d, JAN))
+    return bounded.betweenness(graph(spark, d)).withColumn("betweenness", F.round("betweenness", 6))
 
 
+# rows only: kernels, held against brute force and known values in tests
 @query()
 def all_pairs_cuts(spark, d):
-    """Cuts between the ten busiest senders."""
-    e = graph(spark, d, JAN)
-    top = [r.id for r in graphs.weighted_degree(e).orderBy(F.desc("degree"), "id").limit(10).collect()]
-    return bounded.all_cuts(e, [(a, b) for a in top for b in top if a < b])
+    return bounded.all_cuts(graph(spark, d))
 
 
 @query()
 def stcut(spark, d):
-    e = graph(spark, d, JAN)
+    e = graph(spark, d)
     top = [r.id for r in graphs.weighted_degree(e).orderBy(F.desc("degree"), "id").limit(2).collect()]
     value, side = bounded.st_cut(e, *top)
     return side.withColumn("value", F.lit(value))
@@ -331,23 +335,23 @@ def stcut(spark, d):
 
 @query()
 def spectral_cut(spark, d):
-    lam, side, cond = bounded.spectral(graph(spark, d, JAN))
+    lam, side, cond = bounded.spectral(graph(spark, d))
     return side.withColumns({"lambda2": F.lit(lam), "cond": F.lit(cond)})
 
 
 @query()
 def louvain(spark, d):
-    return bounded.communities(graph(spark, d, JAN))
+    return bounded.communities(graph(spark, d))
 
 
 @query()
 def clustering_products(spark, d):
-    return bounded.products(graph(spark, d, JAN))
+    return bounded.products(graph(spark, d))
 
 
 @query()
 def flowseed(spark, d):
-    e = graph(spark, d, JAN)
+    e = graph(spark, d)
     seeds = [r.id for r in graphs.weighted_degree(e).orderBy(F.desc("degree"), "id").limit(8).collect()]
     score, side = bounded.flow_seed(e, seeds)
     return side.withColumn("score", F.lit(score))
@@ -355,7 +359,7 @@ def flowseed(spark, d):
 
 @query()
 def acl_scores(spark, d):
-    e = graph(spark, d, JAN)
+    e = graph(spark, d)
     return bounded.acl(e, [e.agg(F.min("src")).first()[0]])
 
 

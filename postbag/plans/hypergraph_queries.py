@@ -1,22 +1,21 @@
-"""Queries on hypergraphs: orders over parts (two weeks of January 1996), or over suppliers."""
+"""Queries on hypergraphs: orders over parts, or over suppliers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bounded, hypergraphs
+from ..operators import bounded, hypergraphs, messages
 from ..operators.iterate import two_hop_aggregate
 from . import views as v
 from .registry import query
 
-DAYS = ("1996-01-01", "1996-01-15")
-B = f"WITH {v.basket_sql(*DAYS)}"
+B = f"WITH {v.BASKET_SQL}"
 M = f"{B}, h AS (SELECT edge_id, list_sort(list(node_id)) AS members, len(list(node_id)) AS k FROM basket GROUP BY edge_id)"
 S = f"WITH {v.SUPPLIER_BASKET_SQL}, h AS (SELECT edge_id, list_sort(list(node_id)) AS members FROM basket GROUP BY edge_id), g AS (SELECT min(edge_id) AS edge_id, members, count(*)::BIGINT AS weight, len(members) AS k FROM h GROUP BY members)"
 
 
 def basket(spark, d):
-    return v.baskets(spark, d, *DAYS)
+    return v.baskets(spark, d)
 
 
 def weighted(spark, d):
@@ -168,17 +167,48 @@ def terminal_edges(spark, d):
     return e.select(F.col("src").cast("long"), F.col("dst").cast("long"), "w")
 
 
-@query()
+# sets of at most six, merged; people of clique degree under 40 go, sets that are left with one person stay, and equal ones merge again
+FROM_MSG = f"""WITH RECURSIVE {v.msg_sql()}, p AS (SELECT msg_id, list_sort(list_distinct(list_concat([sender], recipients))) AS m FROM msg),
+h1 AS (SELECT min(msg_id) AS e, m, count(*)::BIGINT AS w FROM p WHERE len(m) BETWEEN 2 AND 6 GROUP BY m), cd AS (SELECT x AS id FROM (SELECT unnest(m) AS x, w * (len(m) - 1) AS d FROM h1) GROUP BY x HAVING sum(d) >= 40),
+h2 AS (SELECT e, any_value(w) AS w, list_sort(list(x)) AS m FROM (SELECT e, w, unnest(m) AS x FROM h1) WHERE x IN (SELECT id FROM cd) GROUP BY e),
+h3 AS (SELECT min(e) AS e, m, sum(w)::BIGINT AS w FROM h2 GROUP BY m), u AS (SELECT e, unnest(m) AS x FROM h3), pr AS (SELECT DISTINCT a.x AS a, b.x AS b FROM u a JOIN u b USING (e)),
+r AS (SELECT a AS id, a AS x FROM pr UNION SELECT r.id, pr.b FROM r JOIN pr ON pr.a = r.x), c AS (SELECT id, min(x) AS comp FROM r GROUP BY id), sz AS (SELECT comp FROM c UNION ALL SELECT comp FROM h3 JOIN c ON c.id = m[1]), big AS (SELECT comp FROM sz GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1)"""
+
+
+@query(f"{FROM_MSG} SELECT e AS edge_id, array_to_string(m, ',') AS members, w AS weight FROM h3 WHERE m[1] IN (SELECT id FROM c JOIN big USING (comp))")
 def hypergraph_from_messages(spark, d):
-    h = hypergraphs.from_messages(v.messages(spark, d, "1996-01-01", "1996-02-01"), maxset=6, mindegree=3)
-    return h.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    h = hypergraphs.from_messages(v.messages(spark, d), maxset=6, mindegree=40)
+    return h.select("edge_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), F.col("weight").cast("long"))
+
+
+def _ends(inc):
+    return [r.node_id for r in hypergraphs.node_degree(inc).orderBy(F.desc("degree"), "node_id").limit(2).collect()]
+
+
+DELTAS = [round(1 + k / 10, 1) for k in range(41)]
+
+
+def _delta_cuts(spark, d):
+    h = weighted(spark, d).withColumn("weight", F.col("weight") / F.greatest(F.size("members") - 1, F.lit(1)))
+    return bounded.hyper_st_cuts(h, *_ends(v.supplier_baskets(spark, d)), DELTAS)
 
 
 @query()
 def hyper_stcut_delta_sweep(spark, d):
-    h = hypergraphs.members(basket(spark, d)).withColumn("weight", F.lit(1.0) / F.greatest(F.size("members") - 1, F.lit(1)))
-    ends = basket(spark, d).agg(F.min("node_id"), F.max("node_id")).first()
-    return bounded.hyper_st_cuts(lambda delta: hypergraphs.gadget_edges(h, 1_000_000, delta), 1_000_000, *ends, [1.0, 2.0, 5.0])
+    """Sides of the cut between the two busiest suppliers for delta from 1 to 5 by tenths."""
+    return _delta_cuts(spark, d)
+
+
+@query()
+def delta_side_changes(spark, d):
+    """Who isn't always on the same side."""
+    return messages.side_changes(_delta_cuts(spark, d).select("id", F.col("delta").alias("sweep"), "side"))
+
+
+@query()
+def hypergraph_cut_comparison(spark, d):
+    """Graph and hypergraph cuts between the two busiest suppliers, by the largest order of hyperedges."""
+    return bounded.cut_comparison(weighted(spark, d), *_ends(v.supplier_baskets(spark, d)), [5, 10, 15, 25, 100])
 
 
 def _seed(inc):
@@ -194,7 +224,7 @@ def lh_pagerank(spark, d):
 @query()
 def qdsfm_pagerank(spark, d):
     inc = basket(spark, d)
-    return bounded.hypergraph_scores(inc, _seed(inc), "qdsfm", steps=100)
+    return bounded.hypergraph_scores(inc, _seed(inc), "qdsfm", steps=5000)
 
 
 @query()
@@ -212,6 +242,6 @@ def hyperlocal(spark, d):
 
 @query()
 def cluster_recovery(spark, d):
-    inc = v.supplier_baskets(spark, d).filter("edge_id < 400")
-    truth = v.persons(spark, d).filter("org < 4").select(F.col("id").alias("node_id"), F.col("org").alias("label"))
+    inc = v.supplier_baskets(spark, d)
+    truth = v.persons(spark, d).select(F.col("id").alias("node_id"), F.col("org").alias("label"))
     return bounded.trial_summary(bounded.recovery_trials(inc, truth, 2, 0.3, methods=("grow", "best", "acl_star", "qdsfm")))

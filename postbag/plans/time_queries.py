@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bounded, temporal, tensors
+from ..operators import bounded, messages, temporal, tensors
 from . import views as v
 from .graph_queries import MSG
 from .registry import query
 
 EV = f"WITH {v.EVENT_SQL}"
-QUARTER = ("1996-01-01", "1996-04-01")
-MSG_Q = v.msg_sql(*QUARTER)
 
 
 @query(f"WITH {MSG} SELECT msg_id, thread, pos FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('second', ts), sender, recipients, cc ORDER BY thread, pos) AS r FROM msg) WHERE r = 1")
@@ -80,39 +78,64 @@ def as_of_slices(spark, d):
     return temporal.as_of(o.select(F.col("day").alias("frame")).distinct(), o.filter("o_custkey % 40 = 0").select(F.col("day").alias("slice")).distinct()).filter("slice is not null")
 
 
-_DAYS = 5
+_REACH = """WITH RECURSIVE {ev}, mn AS (SELECT min(day) AS m, max(day) AS x FROM ev), e AS (SELECT DISTINCT date_diff('day', m, day) AS n, src, dst FROM ev, mn), us AS (SELECT DISTINCT user_id AS id FROM events),
+r AS (SELECT date_diff('day', m, x) + 1 AS n, id AS src, id AS dst FROM us, mn UNION ALL
+  SELECT DISTINCT n - 1 AS n, src, dst FROM (SELECT n, src, dst FROM r UNION ALL SELECT r.n, e.src, r.dst FROM r JOIN e ON e.dst = r.src AND e.n = r.n - 1) WHERE n > 0)""".format(ev=v.EVENT_SQL)
 
 
-def _early(spark, d):
-    e = v.event_edges(spark, d)
-    first = e.agg(F.min("day")).first()[0]
-    return e.filter((F.col("day") < F.date_add(F.lit(first), _DAYS)) & (F.col("src") % 10 == 0) & (F.col("dst") % 2 == 0))
+def users(spark, d):
+    return v.table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
 
 
-_REACH = [f"{EV}, mn AS (SELECT min(day) AS m FROM ev), e AS (SELECT DISTINCT date_diff('day', m, day) AS n, src, dst FROM ev, mn WHERE day < m + INTERVAL {_DAYS} DAY AND src % 10 = 0 AND dst % 2 = 0), us AS (SELECT DISTINCT user_id AS id FROM events), r{_DAYS} AS (SELECT id AS src, id AS dst FROM us)"]
-for _n in range(_DAYS - 1, -1, -1):
-    _REACH.append(f"r{_n} AS (SELECT src, dst FROM r{_n + 1} UNION SELECT e.src, r.dst FROM e JOIN r{_n + 1} r ON r.src = e.dst WHERE e.n = {_n})")
+@query(f"{_REACH} SELECT src, dst FROM r WHERE n = 0")
+def temporal_reach(spark, d):
+    return temporal.reachability(v.event_edges(spark, d), users(spark, d))
 
 
-@query(", ".join(_REACH) + " SELECT * FROM r0")
-def temporal_reach(spark, d):
-    users = v.table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
-    return temporal.reachability(_early(spark, d), users)
+@query(f"{_REACH} SELECT src, count(*)::BIGINT AS reached FROM r WHERE n = 0 GROUP BY src ORDER BY reached DESC, src LIMIT 15")
+def temporal_reach_top15(spark, d):
+    r = temporal.reachability(v.event_edges(spark, d), users(spark, d))
+    return r.groupBy("src").agg(F.count("*").alias("reached")).orderBy(F.desc("reached"), "src").limit(15)
+
+
+@query()
+def temporal_reach_same_day(spark, d):
+    """A day's strong components of more than two reach alike."""
+    return temporal.reachability(v.event_edges(spark, d), users(spark, d), same_day=True)
 
 
 @query()
 def temporal_strong_component(spark, d):
-    e = v.event_edges(spark, d)
-    users = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    found, proven = bounded.temporal_strong_component(temporal.reachability(e, users))
+    found, proven = bounded.temporal_strong_component(temporal.reachability(v.event_edges(spark, d), users(spark, d)))
     return found.withColumn("proven", F.lit(proven))
 
 
-@query()
+# a day's inverse is 40 terms of its series, then the next day begins from it
+_COMM = """{name}(n, k, id, x, y) AS (SELECT 1, 0, id, 1.0::DOUBLE, 1.0::DOUBLE FROM us UNION ALL
+  SELECT CASE WHEN k = 39 THEN n + 1 ELSE n END, CASE WHEN k = 39 THEN 0 ELSE k + 1 END, id, CASE WHEN k = 39 THEN z ELSE x END, z FROM (
+    SELECT b.n, b.k, b.id, b.x, b.x + 0.02 * coalesce(sum(e.w * c.y), 0) AS z FROM {name} b LEFT JOIN e ON {clock} = b.n AND {to} = b.id LEFT JOIN {name} c ON c.id = {at} GROUP BY b.n, b.k, b.id, b.x) WHERE n <= (SELECT max(up) FROM e))"""
+_COMMUNICABILITY = (
+    f"WITH RECURSIVE {v.EVENT_SQL}, us AS (SELECT DISTINCT user_id AS id FROM events), e AS (SELECT src, dst, w, dense_rank() OVER (ORDER BY day) AS up, dense_rank() OVER (ORDER BY day DESC) AS down FROM ev), "
+    + _COMM.format(name="bc", clock="e.down", to="e.src", at="e.dst") + ", " + _COMM.format(name="rc", clock="e.up", to="e.dst", at="e.src")
+    + ", cm AS (SELECT bc.id, bc.x AS broadcast, rc.x AS receive FROM bc JOIN rc ON rc.id = bc.id AND rc.n = bc.n AND rc.k = bc.k WHERE bc.k = 0 AND bc.n = (SELECT max(up) + 1 FROM e))"
+)
+
+
+@query(f"{_COMMUNICABILITY} SELECT id, round(broadcast, 6) AS broadcast, round(receive, 6) AS receive FROM cm")
 def communicability(spark, d):
-    e = _early(spark, d)
-    users = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    return temporal.communicability(e, users)
+    c = temporal.communicability(v.event_edges(spark, d), users(spark, d))
+    return c.select("id", F.round("broadcast", 6).alias("broadcast"), F.round("receive", 6).alias("receive"))
+
+
+@query(
+    f"""{_COMMUNICABILITY}, s AS (SELECT id, round(broadcast, 6) AS broadcast, round(receive, 6) AS receive FROM cm),
+q AS (SELECT id, broadcast, row_number() OVER (ORDER BY broadcast DESC, id) AS broadcast_rank, row_number() OVER (ORDER BY receive DESC, id) AS receive_rank FROM s)
+SELECT id, broadcast_rank, receive_rank FROM q WHERE broadcast_rank <= 15"""
+)
+def communicability_ranking(spark, d):
+    """The fifteen best broadcasters and where they stand as receivers."""
+    c = communicability(spark, d)
+    return messages.rank_compare({x: c.select("id", F.col(x).alias("score")) for x in ("broadcast", "receive")}, 15)
 
 
 @query()
@@ -122,11 +145,11 @@ def day_strong_components(spark, d):
 
 @query()
 def multislice_communities(spark, d):
-    return bounded.multislice_communities(_early(spark, d).filter("dst % 10 = 0"))
+    return bounded.multislice_communities(v.event_edges(spark, d))
 
 
 # -------------------------------------------------------------------- tensors
-_PRUNE = f"""WITH {MSG_Q}, k0 AS (SELECT sender AS id FROM msg UNION SELECT unnest(recipients) FROM msg UNION SELECT unnest(cc) FROM msg),
+_PRUNE = f"""WITH {MSG}, k0 AS (SELECT sender AS id FROM msg UNION SELECT unnest(recipients) FROM msg UNION SELECT unnest(cc) FROM msg),
 rr AS (SELECT msg_id, unnest(recipients) AS id FROM msg), cr AS (SELECT msg_id, unnest(cc) AS id FROM msg)"""
 for _n in range(1, 7):
     _PRUNE += f""", s{_n} AS (SELECT msg_id, sender FROM msg WHERE sender IN (SELECT id FROM k{_n - 1}) AND msg_id IN (SELECT msg_id FROM rr WHERE id IN (SELECT id FROM k{_n - 1})) AND msg_id IN (SELECT msg_id FROM cr WHERE id IN (SELECT id FROM k{_n - 1}))),
@@ -136,18 +159,14 @@ nr AS (SELECT msg_id, count(*) AS n FROM fr GROUP BY 1), nc AS (SELECT msg_id, c
 tn AS (SELECT c, r, sender AS s, sum(1.0::DOUBLE / (nr.n * nc.n)) AS v FROM msg JOIN fr USING (msg_id) JOIN fc USING (msg_id) JOIN nr USING (msg_id) JOIN nc USING (msg_id) WHERE sender IN (SELECT id FROM k6) GROUP BY c, r, sender)"""
 
 
-def _quarter(spark, d):
-    return v.messages(spark, d, *QUARTER)
-
-
 @query(f"{_PRUNE} SELECT id FROM k6")
 def tensor_prune(spark, d):
-    return tensors.pruned_people(_quarter(spark, d))
+    return tensors.pruned_people(v.messages(spark, d))
 
 
 @query(f"{_TENSOR} SELECT c, r, s, round(v, 6) AS v FROM tn")
 def message_tensor(spark, d):
-    m = _quarter(spark, d)
+    m = v.messages(spark, d)
     return tensors.message_tensor(m, tensors.pruned_people(m)).withColumn("v", F.round("v", 6))
 
 
@@ -158,7 +177,7 @@ for _n in range(1, 6):
 
 @query(", ".join(_H) + " SELECT id, round(x, 6) AS x FROM x5")
 def h_eigen_5iters(spark, d):
-    m = _quarter(spark, d)
+    m = v.messages(spark, d)
     keep = tensors.pruned_people(m)
     return tensors.eigenvector_centrality(tensors.message_tensor(m, keep), keep, rounds=5, tol=None).withColumn("x", F.round("x", 6))
 
@@ -198,14 +217,16 @@ def mean_embedding_by_label(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT 'w' || vec_id AS word, embedding::DOUBLE[] AS e2 FROM embeddings WHERE vec_id < 40), x AS (SELECT vec_id, embedding::DOUBLE[] AS e1 FROM embeddings),
+    """WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS e1 FROM embeddings), c AS (SELECT label, unnest(e1) AS x, unnest(range(len(e1))) AS dim FROM x), m AS (SELECT label, dim, avg(x) AS x FROM c GROUP BY ALL),
+w AS (SELECT 'w' || label AS word, list(x ORDER BY dim) AS e2 FROM m GROUP BY label),
 s AS (SELECT vec_id, word, round(list_dot_product(e1, e2) / (sqrt(list_dot_product(e1, e1)) * sqrt(list_dot_product(e2, e2))), 9) AS cos FROM x, w)
 SELECT vec_id, arg_min(word, (-cos, word)) AS word FROM s GROUP BY vec_id"""
 )
 def nearest_word(spark, d):
-    e = v.table(spark, d, "embeddings")
-    vocab = e.filter("vec_id < 40").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), "embedding")
-    return text.nearest_word(e.select("vec_id", "embedding"), vocab).select("vec_id", "word")
+    """The label whose mean vector is nearest to each vector."""
+    e = v.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    mean = text.mean_embedding(e, "label").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("embedding"))
+    return text.nearest_word(e, mean.select(F.concat(F.lit("w"), F.col("label").cast("string")).alias("word"), "embedding")).select("vec_id", "word")
 
 
 @query()
@@ -214,14 +235,14 @@ def word2vec(spark, d):
     from pyspark.ml.feature import Word2Vec
 
     docs = v.table(spark, d, "documents").select(text.tokens(F.col("text")).alias("words"))
-    model = Word2Vec(vectorSize=32, minCount=12, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(docs)
+    model = Word2Vec(vectorSize=32, minCount=12, maxIter=8, seed=1, inputCol="words", outputCol="v").fit(docs)
     return model.getVectors().select("word", F.col("vector").cast("string").alias("vector"))
 
 
 @query()
 def cp_factors(spark, d):
-    """Three-term CP decomposition of the quarter's tensor: factor rows by mode."""
-    m = _quarter(spark, d)
+    """Three-term CP decomposition of the tensor: factor rows by mode."""
+    m = v.messages(spark, d)
     f = tensors.cp_als(tensors.message_tensor(m, tensors.pruned_people(m)), ["c", "r", "s"], 3, rounds=2)
     out = None
     for mode, table in f.items():

@@ -12,33 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def messages(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as messages from the first line's supplier to those of the other lines (returned lines: copied), threads by customer, newest first."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *_LINE_ORDER)
-    if start:
-        inside = (F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
-        orders = orders.filter(inside)
-        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    numbered = lines.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)))
-    other = F.col("rn") > 1
-    pick = lambda c: F.sort_array(F.collect_set(F.when(other & c, F.col("l_suppkey"))))
-    sides = numbered.groupBy("l_orderkey").agg(F.max(F.when(F.col("rn") == 1, F.col("l_suppkey"))).alias("sender"), pick(F.col("l_returnflag") != "R").alias("recipients"), pick(F.col("l_returnflag") == "R").alias("cc"))
+    # the least line sends, so sides need one aggregate and no window: the sorted lines are a row's own array
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*_LINE_ORDER).alias("line"))
+    sides = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    rest = F.slice("lines", F.lit(2), F.size("lines"))
+    pick = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(rest, c), lambda x: x["l_suppkey"])))
+    sides = sides.select("l_orderkey", F.col("lines")[0]["l_suppkey"].alias("sender"), pick(lambda x: x["l_returnflag"] != "R").alias("recipients"), pick(lambda x: x["l_returnflag"] == "R").alias("cc"))
     joined = orders.join(sides, orders.o_orderkey == sides.l_orderkey)
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
     return joined.select(F.col("o_orderkey").alias("msg_id"), F.col("o_custkey").alias("thread"), pos.alias("pos"), F.col("o_orderdate").alias("ts"), "sender", "recipients", "cc")
 
 
-def msg_sql(start: str | None = None, end: str | None = None) -> str:
-    where = f"WHERE o_orderdate >= TIMESTAMP '{start}' AND o_orderdate < TIMESTAMP '{end}'" if start else ""
+def msg_sql() -> str:
     return f"""
-ord AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders {where}),
-lin AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)}) AS rn FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM ord)),
+lin AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)}) AS rn FROM lineitem),
 sid AS (SELECT l_orderkey, max(l_suppkey) FILTER (rn = 1) AS sender,
   coalesce(list_sort(list(DISTINCT l_suppkey) FILTER (rn > 1 AND l_returnflag <> 'R')), []) AS recipients,
   coalesce(list_sort(list(DISTINCT l_suppkey) FILTER (rn > 1 AND l_returnflag = 'R')), []) AS cc FROM lin GROUP BY l_orderkey),
 msg AS (SELECT o_orderkey AS msg_id, o_custkey AS thread, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos,
-  o_orderdate AS ts, sender, recipients, cc FROM ord JOIN sid ON l_orderkey = o_orderkey)"""
+  o_orderdate AS ts, sender, recipients, cc FROM orders JOIN sid ON l_orderkey = o_orderkey)"""
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,15 +43,12 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERSON_SQL = "person AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS org FROM supplier)"
 
 
-def baskets(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
-    """Orders of a window as hyperedges over parts: distinct (edge_id, node_id)."""
-    orders = table(spark, sf_dir, "orders").filter((F.col("o_orderdate").cast("timestamp_ntz") >= F.lit(start).cast("timestamp_ntz")) & (F.col("o_orderdate").cast("timestamp_ntz") < F.lit(end).cast("timestamp_ntz")))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("node_id"))
-    return lines.join(orders.select(F.col("o_orderkey").alias("edge_id")), "edge_id", "left_semi").distinct()
+def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as hyperedges over parts: distinct (edge_id, node_id)."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("node_id")).distinct()
 
 
-def basket_sql(start: str, end: str) -> str:
-    return f"basket AS (SELECT DISTINCT l_orderkey AS edge_id, l_partkey AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '{start}' AND o_orderdate < TIMESTAMP '{end}')"
+BASKET_SQL = "basket AS (SELECT DISTINCT l_orderkey AS edge_id, l_partkey AS node_id FROM lineitem)"
 
 
 def supplier_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

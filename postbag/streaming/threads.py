@@ -34,23 +34,28 @@ def deduplicate(msgs: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def fading_memory(edges: DataFrame, gamma: float = 0.5, tol: float = 1e-3) -> DataFrame:
-    """(src, dst, day, f): per pair, f decays by gamma a day since the last and takes the new weight; state is two numbers a pair."""
+    """(src, dst, day, f): per pair, f decays by gamma a calendar day since the last and takes the new weight; state is two numbers a pair.
+
+    A day that comes late, before the last one of its pair, adds its weight as it has decayed since, so that f at the last day is what it
+    would have been in order (but for what was forgotten meanwhile), and that day's row comes again. The batch operator
+    with ``calendar`` gives the same numbers."""
 
     def fold(key, frames: Iterator[pd.DataFrame], state):
         f, last = state.get if state.exists else (0.0, None)
         days: dict = {}
         for frame in frames:
             for day, w in zip(frame["day"], frame["w"], strict=True):
-                days[day] = days.get(day, 0.0) + w
+                at = pd.Timestamp(day).toordinal()
+                days[at] = days.get(at, 0.0) + w
         rows = []
-        for day in sorted(days):
-            ordinal = pd.Timestamp(day).toordinal()
-            if last is not None:
-                f *= gamma ** max(0, ordinal - last)
-            f = f + days[day]
+        for at in sorted(days):
+            if last is not None and at <= last:
+                f += days[at] * gamma ** (last - at)
+            else:
+                f = f * gamma ** (at - last) + days[at] if last is not None else days[at]
+                last = at
             f = f if abs(f) > tol else 0.0
-            last = ordinal
-            rows.append((key[0], key[1], day, f))
+            rows.append((key[0], key[1], pd.Timestamp.fromordinal(last).date(), f))
         state.update((f, last))
         yield pd.DataFrame(rows, columns=["src", "dst", "day", "f"])
 

@@ -229,9 +229,19 @@ def test_ingest(spark, tmp_path):
 
 def test_text_functions(spark):
     one = lambda c, *v: spark.createDataFrame([v], [f"c{i}" for i in range(len(v))]).select(c).first()[0]
-    assert one(text.parse_time(F.col("c0"), legacy_half_day=True), "March 2, 2020 9:53 PM") == dt.datetime(2020, 3, 2, 9, 53)
-    for s in ("Monday, March 2, 2020 9:53 PM", "Mar 2, 2020 9:53 PM", "3/2/2020 9 : 53 PM", "2020-03-02 21:53:00", "2020-03-02T21:53:00", "2 Mar 2020 21:53:00 +0000", "2 March 2020 21:53"):
+    assert one(text.parse_time(F.col("c0"), legacy_half_day=True), "Monday, March 2, 2020 9:53 PM") == dt.datetime(2020, 3, 2, 9, 53)
+    # the accepted shapes, each with what scanning does to it; local hours stay, whatever the offset
+    for s in ("Monday, March 2, 2020 9:53 PM", "Monday, March 2, 2020 9:53:00PM", "Mon, 2 Mar 2020 21 :53:00 +0000", "Mon, 2 Mar 2020 21:53:00 -0500", "Monday, 2 March 2020 21:53", "02 March 2020 2l:53", "Monday, March 2 , 2020 21:53", "Monday, 2 March 2020 9:53 PM", "Monday, March 2, 2020 9:53 PM (b)"):
         assert one(text.parse_time(F.col("c0")), s) == dt.datetime(2020, 3, 2, 21, 53), s
+    assert one(text.parse_time(F.col("c0")), "Monday, March 2, 2020") == dt.datetime(2020, 3, 2)
+    for s in ("Mar 2, 2020 9:53 PM", "3/2/2020 9:53 PM", "2020-03-02 21:53:00", "soon", ""):
+        assert one(text.parse_time(F.col("c0")), s) is None, s
+    assert one(text.strip_suffixes(F.col("c0"), [" md", " phd"]), "ann lee md phd md phd md") == "ann lee"
+    raw = spark.createDataFrame([("Lee Ann PhD on behalf of Bob",), ("carl",), ("dee [x]",)], "raw string")
+    exact = spark.createDataFrame([("ann, lee", ["lee, ann"]), ("carl", ["carl a", "carl b"])], "raw string, names array<string>")
+    near = spark.createDataFrame([(1, "bo", None, "bobby")], "priority int, first string, second string, canonical string")
+    got = {r.raw: sorted(r.names) for r in text.canonical_names(raw, [], [" phd"], exact, near).collect()}
+    assert got == {"Lee Ann PhD on behalf of Bob": ["lee, ann"], "carl": ["carl a", "carl b"], "dee [x]": []}
     assert one(text.reorder_name(F.col("c0")), "ann lee") == "lee, ann" and one(text.reorder_name(F.col("c0")), "ann@x lee") == "ann@x lee"
     assert one(text.normalise_name(F.col("c0"), [("(e) ", "")], [" phd"]), "(E) Ann Lee [c] ") == "ann lee" and one(text.normalise_name(F.col("c0")), "a1b") == ""
     assert one(text.on_behalf(F.col("c0")), "a On Behalf Of b") == ["a", "b"]
