@@ -187,19 +187,45 @@ def _compatible(a: str, b: str, percent: int):
     return near & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
 
 
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of a 64-bit hash in a filter, from its two halves."""
+    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return [(low + np.uint64(i) * high) % np.uint64(bits) for i in range(4)]
+
+
+def id_filter(ids: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of the 64-bit hashes of ``ids`` (id): bytes of sixteen bits an id, 8 MB at most. Beyond that more strangers pass, and nothing is lost."""
+    bits = 1 << min(26, max(16, (16 * rows).bit_length()))
+    h = F.xxhash64("id")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    places = ids.select(F.explode(F.array(*[F.pmod(low + i * high, F.lit(bits)) for i in range(4)])).alias("p"))
+    words = places.groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 31))")).alias("v")).toPandas()  # at most 2^21 rows
+    out = np.zeros(bits // 32, "<u4")
+    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return out
+
+
 def _sets_of(wanted: DataFrame, docs: DataFrame, k: int, name: str, rows: int) -> DataFrame:
-    """member, items: the whole sets of ``wanted`` (member, rep, sig1, sig2), kept. A doc_id may have several texts, so the
+    """member, items: the whole sets of ``wanted`` (member, rep, sig1, sig2), kept. Texts stay where they are: a filter of bounded size goes to them and
+    lets the wanted ids (and a few strangers) through; the join with the wanted follows on the sets. A doc_id may have several texts, so the
     sums tell which of them is meant."""
     schema = pa.schema([("rep", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("items", pa.binary())])
+    held = id_filter(wanted.select(F.col("rep").alias("id")), rows)
+    bits = 32 * len(held)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = batch.column(2).to_numpy().view(np.uint64)
+            through = np.ones(len(h), bool)
+            for p in _places(h, bits):
+                through &= (held[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+            batch = batch.filter(pa.array(through))
             found = [s for _, s in shingle_sets(batch.column(1), k)]
             one, two = zip(*map(sums, found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], schema=schema)
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")  # ids alone meet texts
-    found = texts.mapInArrow(lean(sets), "rep long, sig1 long, sig2 long, items binary").dropDuplicates(["rep", "sig1", "sig2"])
+    hashed = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("_h"))
+    found = hashed.mapInArrow(lean(sets), "rep long, sig1 long, sig2 long, items binary").dropDuplicates(["rep", "sig1", "sig2"])
     return keep(found.join(wanted, ["rep", "sig1", "sig2"]).select("member", "items"), name, 5 * rows)  # wide rows
 
 
