@@ -50,7 +50,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+    return fertility.quality(table(spark, sf_dir, "documents"), vocabulary(PIECES), vocabulary(WORDS))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
