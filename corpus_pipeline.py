@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep; the rest go."""
-    judged = fertility.quality(docs, vocabulary(PIECES), keep_columns=COLUMNS, with_text=True)
+    judged = fertility.quality(docs, vocabulary(PIECES), vocabulary(WORDS), keep_columns=COLUMNS, with_text=True)
     return judged.filter("kept").select(*COLUMNS)
 
 
