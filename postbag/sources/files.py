@@ -104,13 +104,27 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.regexp_extract("file", at, 1).cast("int").alias("thread"), F.regexp_extract("file", at, 2).cast("int").alias("pos"), F.regexp_extract("file", at, 3).alias("name"), F.col("value").alias("text")).filter("name <> ''")
 
 
-def read_labelled_hypergraph(spark: SparkSession, incidence: str, labels: str, least: int = 0, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Parquet incidence and labels (node_id, label) of the clusters of ``least`` to ``most`` nodes."""
+def read_labelled_hypergraph(spark: SparkSession, incidence: str, labels: str, least: int = 0, most: int | None = None, most_cond: float | None = None, delta: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Parquet incidence and labels (node_id, label) of the clusters of ``least`` to ``most`` nodes, and of a threshold-linear
+    conductance of at most ``most_cond``."""
+    from ..operators.hypergraphs import tl_cut
+
     inc, lab = spark.read.parquet(incidence), spark.read.parquet(labels)
     size = lab.groupBy("label").count().filter(F.col("count") >= least)
     if most is not None:
         size = size.filter(F.col("count") <= most)
-    return inc, lab.join(size, "label", "left_semi")
+    kept = lab.join(size, "label", "left_semi")
+    if most_cond is not None:
+        kept = kept.join(tl_cut(inc, kept.select("node_id", "label"), delta).filter(F.col("cond") <= most_cond), "label", "left_semi")
+    return inc, kept
+
+
+def read_word_model(spark: SparkSession, path: str) -> DataFrame:
+    """word, vector (array of floats) of a saved Word2Vec model."""
+    from pyspark.ml.feature import Word2VecModel
+    from pyspark.ml.functions import vector_to_array
+
+    return Word2VecModel.load(path).getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
