@@ -498,3 +498,79 @@ def test_whole_pipeline_runs(spark, data):
         docs = spark.createDataFrame(stage(spark, docs, data).collect(), docs.schema)
     want = Counter(r.ids_crc32 for r in p.packing_stage(spark, docs, data).collect())
     assert Counter(r.ids_crc32 for r in p.run(spark, data).collect()) == want
+
+
+def test_whole_pipeline_is_its_brute_force(spark, tmp_path):
+    """run() over a table against plain Python of all four stages; only the seeded tree of quotas is taken from the library."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        rows.append((i, prose(rng, rng.choice([20, 60, 120, 300, 900])), rng.choice(["en", None, "xx"]), rng.choice(["a", "b", "b", "b", None])))
+    for i in range(100, 130):  # near and exact copies of long ones, junk, repetition, nothing
+        w = rows[i - 100][1].split(" ")
+        w[rng.randrange(len(w))] = "edited"
+        rows.append((i, " ".join(w) if i % 3 else rows[i - 100][1], rows[i - 100][2], "b"))
+    rows += [(200, "#".join("abc def " * 60), "en", "a"), (201, "one two three " * 40, None, "a"), (202, None, None, "a"), (203, "", "en", "b"), (204, "\n\n" + prose(rng, 2500), None, "b")]
+    table = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
+    plain, tok = Tokenizer.from_file(vocabulary(WORDS)), Tokenizer.from_file(vocabulary(WORDS))
+    plain.encode_special_tokens = True
+    kept = []
+    for r in rows:  # quality rules
+        if base(r[1])[-1]:
+            continue
+        ids = [i for w in words(r[1]) for i in sp.encode(w)]
+        chars, tokens = sum(map(len, words(r[1]))), plain.encode(r[1], add_special_tokens=False).ids
+        bits = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+        share = sum(sp.is_byte(i) or sp.is_unknown(i) for i in ids) / len(ids)
+        band = fertility.Bands().of(r[2], "latin")
+        if band.chars_per_token[0] <= chars / len(ids) <= band.chars_per_token[1] and share <= band.byte_share and band.entropy[0] <= bits <= band.entropy[1] and band.chars_per_word_token[0] <= chars / len(tokens) <= band.chars_per_word_token[1]:
+            kept.append(r)
+    assert 30 < len(kept) < len(rows) - 10
+    firsts = {c for _, c in classes(kept, 5, 80).values()}  # near duplicates
+    single = [r for r in kept if r[0] in firsts]
+    assert len(single) < len(kept) - 5
+    size = {r[0]: len(words(r[1])) for r in single}  # mixing
+    sizes = Counter()
+    for r in single:
+        sizes[r[3]] += size[r[0]]
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target = reshared(sizes, (1, 2, 3), 3)
+    quota = {s: math.floor(target[s] + 0.5) for s in order}
+    tree = mixing.split_quotas([-(-quota[s] // 1024) for s in order], 16, 0)
+    drawn = []
+    for i, s in enumerate(order):
+        ends = [0]
+        for shard in range(16):
+            ends.append(min(quota[s], 1024 * sum(t[i] for t in tree[: shard + 1])))
+        at = 0
+        own = sorted((r for r in single if r[3] == s), key=lambda r: hashlib.md5(f"0:{r[0]}".encode()).hexdigest())
+        for _ in range(3):
+            for r in own:
+                pieces = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r[1])
+                for a, b in zip(ends, ends[1:], strict=False):
+                    x, y = max(a, at), min(b, at + len(pieces))
+                    if x < y:
+                        drawn.append((r[0], r[1] if y - x == len(pieces) else "".join(pieces[x - at : y - at])))
+                at += len(pieces)
+    want = Counter()  # packing
+    for doc_id, t in drawn:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            want[doc_id, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())] += 1
+    got = p.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for own in spans.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert len(spans) <= 1.02 * sum(n for own in spans.values() for _, n in own) / 2048 + 2
