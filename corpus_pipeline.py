@@ -63,6 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenisers decide what is kept and how long pieces are, which SQL can't say. Tests hold run() against its stages one after
-#: the other, and stages against partly independent checks; no brute force of the whole pipeline is there.
+#: Tokenisers decide what is kept and how long pieces are, which SQL can't say. Tests hold run() against a brute force of all four stages.
 ORACLE_SQL = None
