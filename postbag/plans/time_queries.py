@@ -138,7 +138,10 @@ def communicability_ranking(spark, d):
     return messages.rank_compare({x: c.select("id", F.col(x).alias("score")) for x in ("broadcast", "receive")}, 15)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {v.EVENT_SQL}, vx AS (SELECT day, src AS id FROM ev UNION SELECT day, dst FROM ev), r AS (SELECT day, id AS a, id AS b FROM vx UNION SELECT r.day, r.a, ev.dst FROM r JOIN ev ON ev.day = r.day AND ev.src = r.b)
+SELECT x.day, x.a AS id, min(x.b) AS component FROM r x JOIN r y ON y.day = x.day AND y.a = x.b AND y.b = x.a GROUP BY x.day, x.a"""
+)
 def day_strong_components(spark, d):
     return bounded.strong_components(v.event_edges(spark, d))
 
