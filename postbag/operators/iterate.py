@@ -35,7 +35,7 @@ def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
 
     Rows are dealt into ranges and sorted there; a row's number in its range is the low part of its partition's
     running id, and a prefix sum over the ranges (a row each) gives where a range begins."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(df).repartitionByRange(*order).sortWithinPartitions(*order)  # cut, as finding the ranges reads the rows once more
     placed = cut(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range

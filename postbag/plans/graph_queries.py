@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bounded, graphs, messages
-from ..operators.iterate import connected_components
+from ..operators.iterate import connected_components, cut
 from . import views as v
 from .registry import query
 
@@ -262,7 +262,7 @@ v AS (SELECT x.rank, x.id, (SELECT coalesce(sum(w), 0) FROM a JOIN k y ON y.id =
 
 @query(f"{SWEEP} SELECT rank, id, vol::BIGINT AS vol, cut::BIGINT AS cut, CASE WHEN least(vol, (SELECT sum(w) FROM a) - vol) > 0 THEN round((cut / least(vol, (SELECT sum(w) FROM a) - vol))::DOUBLE, 9) END AS cond FROM v")
 def sweep_profile(spark, d):
-    e = graph(spark, d)
+    e = cut(graph(spark, d))  # read for degrees, totals and both ends
     s = v.persons(spark, d).select("id").join(graphs.weighted_degree(e), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("score"))
     return graphs.sweep_profile(e, s).withColumn("cond", F.round("cond", 9))
 

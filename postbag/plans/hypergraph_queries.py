@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bounded, hypergraphs, messages
-from ..operators.iterate import two_hop_aggregate
+from ..operators.iterate import cut, two_hop_aggregate
 from . import views as v
 from .registry import query
 
@@ -155,7 +155,7 @@ r AS (SELECT rank, node_id, sum(dv) OVER (ORDER BY rank)::BIGINT AS vol, sum(d)
 SELECT rank, node_id, vol, cut, CASE WHEN least(vol, total - vol) > 0 THEN round(cut / least(vol, total - vol), 9) END AS cond FROM r, t"""
 )
 def hyper_sweep(spark, d):
-    inc = basket(spark, d)
+    inc = cut(basket(spark, d))  # read for degrees, totals and arrivals
     s = hypergraphs.node_degree(inc).withColumnRenamed("degree", "score")
     return hypergraphs.sweep_profile(inc, s, 1.0).withColumn("cond", F.round("cond", 9))
 
