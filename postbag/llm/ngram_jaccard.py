@@ -6,15 +6,15 @@
    prefixes under any such order.
 2. Documents with identical sets are one member; members with identical prefixes
    and size collapse into one group. Only shingles in the prefixes of two
-   groups or more make blocks.
-3. Pairs of groups in a block pass the size and position filters and a parity filter (256 bits a set: the
+   groups or more make blocks, and of blocks with the same groups only the first in the order stays.
+3. Pairs of groups in a block pass the size and position filters and a parity filter (1024 bits a set: the
    bits in which two differ bound their symmetric difference from below), all inside the join's
    condition; then they expand to pairs of members and are verified on whole sets.
 4. A dense block would give every pair of its members. So each block first pairs
    all of it with one hub; whatever the verified links already connect
    needs no further test, since it can't change a class. Blocks that still hold
-   more than one class then pair across classes, large ones in tiles. No link that joins two
-   classes is lost and no cap is used.
+   more than one class then pair across classes, large ones in tiles, and a pair comes out of the
+   first block that both are in. No link that joins two classes is lost and no cap is used.
 5. Links lie inside classes, so each member's links are counted there, on whole sets: a class that is large is cut
    into tiles, and a task multiplies the 0/1 matrices of a tile's two sides and sends on a count a member, never pairs.
 """
@@ -37,6 +37,8 @@ HOT_LEAST, HOT_LIMIT = 8, 1 << 18
 BUCKET_BYTES = 24 << 20
 #: Groups on a side of a tile of a block; shingles and sets on a side of a tile of a class.
 TILE_GROUPS, TILE_SHINGLES, TILE_SETS = 4000, 250_000, 1000
+#: So many of a group's earlier blocks go with each of its rows, so that a pair that meets in several comes out of one.
+EARLIER = 32
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -128,8 +130,8 @@ def shingle_order(docs: DataFrame, k: int, text_bytes: int) -> tuple[np.ndarray,
     return v[order], rows["c"].to_numpy().astype(np.uint8)[order]
 
 
-BITS = ("b0", "b1", "b2", "b3")
-_SETS = "doc_id long, n long, sig1 long, sig2 long, prefix_sig long, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
+BITS = tuple(f"b{i}" for i in range(16))
+_SETS = f"doc_id long, n long, sig1 long, sig2 long, prefix_sig long, {', '.join(f'{x} long' for x in BITS)}, prefix array<long>"
 
 
 def sums(s: np.ndarray) -> tuple[int, int]:
@@ -140,8 +142,8 @@ def sums(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Four 64-bit words: for each of 256 hash classes, whether a set has an odd number of its members."""
-    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """Sixteen 64-bit words: for each of 1024 hash classes, whether a set has an odd number of its members."""
+    odd = np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -172,13 +174,13 @@ def prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, classes: np
                 out.append(head)
                 ends.append(ends[-1] + len(head))
             flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (size, sig1, sig2, psig)], *[pa.array([b[i] for b in bits], pa.int64()) for i in range(4)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (size, sig1, sig2, psig)], *[pa.array([b[i] for b in bits], pa.int64()) for i in range(len(BITS))], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), _SETS)
 
 
 def _compatible(a: str, b: str, percent: int):
-    """Filters on columns {x}n, {x}pos and {x}b0 to {x}b3 of two sides: like sizes, as many shingles
+    """Filters on columns {x}n, {x}pos and {x}BITS of two sides: like sizes, as many shingles
     from the shared one on as a link needs, and no more parities apart than it allows."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
@@ -187,6 +189,32 @@ def _compatible(a: str, b: str, percent: int):
     return near & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
 
 
+def _first_blocks(rows: DataFrame) -> DataFrame:
+    """token: of blocks (``rows``: g, pos, token) with the same groups the first in the order, in which every pair of the others meets earlier."""
+    blocks = rows.groupBy("token").agg(F.count("*").alias("_m"), F.bit_xor(F.xxhash64("g")).alias("_x"), F.bit_xor(F.xxhash64("g", F.lit(7))).alias("_y"), F.min("pos").alias("_pos"))
+    return blocks.groupBy("_m", "_x", "_y").agg(F.min_by("token", "_pos").alias("token")).select("token")
+
+
+def _with_earlier(live: DataFrame) -> DataFrame:
+    """``live`` and ``early``: tokens of the group's blocks before this one, EARLIER of them at most."""
+    first = live.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, EARLIER).alias("_e"))
+    before = F.transform(F.filter("_e", lambda e: e["pos"] < F.col("pos")), lambda e: e["token"])
+    return live.join(first, "g", "left").withColumn("early", F.coalesce(before, F.array().cast("array<long>"))).drop("_e")
+
+
+def _across(live: DataFrame, percent: int) -> DataFrame:
+    """ga, gb: pairs of groups in blocks of ``live`` (token, _size, g, pos, n, lo, hi, BITS) that may hold links between classes. A pair comes out
+    where both first meet; more often only if that is behind EARLIER other blocks. A block of many groups is cut into tiles (parts i <= j), so that no task has all its pairs."""
+    parts = F.ceil(F.col("_size") / TILE_GROUPS).cast("long")
+    own = _with_earlier(live).withColumn("_k", parts).withColumn("_p", F.pmod(F.xxhash64("g", F.lit(3)), F.col("_k")))
+    cols = ("g", "n", "pos", "lo", "hi", "early", *BITS)
+    x = own.withColumn("_o", F.explode(F.sequence("_p", F.col("_k") - 1))).select("token", F.col("_p").alias("_i"), F.col("_o").alias("_j"), *[F.col(c).alias(f"a{c}") for c in cols])
+    y = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), "_p"))).select("token", F.col("_o").alias("_i"), F.col("_p").alias("_j"), *[F.col(c).alias(f"b{c}") for c in cols])
+    once = F.when(F.col("_i") == F.col("_j"), F.col("ag") < F.col("bg")).otherwise(F.lit(True)) & ~F.arrays_overlap("aearly", "bearly")
+    apart = once & ((F.col("alo") != F.col("blo")) | (F.col("alo") != F.col("ahi")) | (F.col("blo") != F.col("bhi")))
+    return x.join(y, ["token", "_i", "_j"]).filter(apart & _compatible("a", "b", percent)).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb"))
+
+
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
     """The bits of a 64-bit hash in a filter, from its two halves."""
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
@@ -366,8 +394,11 @@ def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links
     buckets = max(4, -(-text_bytes // (2 * BUCKET_BYTES)))
     shared = keep(_counts(groups.select("prefix").mapInArrow(_count_map(own, 1 << 64, buckets), "bucket int, vals binary, counts binary"), 2), "shared-shingles")
     tokens = groups.select("g", F.posexplode("prefix").alias("pos", "token"))
-    rows = keep(tokens.join(shared.select(F.col("value").alias("token")), "token"), "blocks")
+    every = keep(tokens.join(shared.select(F.col("value").alias("token")), "token"), "blocks")
+    n_every = every.count()
+    rows = keep(every.join(_first_blocks(every), "token"), "first-blocks", n_every)
     n_rows = rows.count()
+    discard(spark, every)
     facts = keep(groups.select("g", "n", *BITS), "group-facts", n_members)
     discard(spark, shared)
     discard(spark, groups)
@@ -391,17 +422,9 @@ def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links
             pick = hub_of.groupBy("token").agg(F.min("h").alias("h")) if turn == 0 else _nth_hub(hub_of, turn)
             sides = live.join(pick, "token").select(F.col("g").alias("bg"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), *[F.col(x).alias(f"b{x}") for x in BITS], F.col("h.g").alias("ag"), F.col("h.n").alias("an"), F.col("h.pos").alias("apos"), F.col("h.lo").alias("alo"), *[F.col(f"h.{x}").alias(f"a{x}") for x in BITS])
             apart = (F.col("ag") != F.col("bg")) & ((F.col("alo") != F.col("blo")) | (F.col("blo") != F.col("bhi")))
+            found = sides.filter(apart & _compatible("a", "b", percent)).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb")).distinct()
         else:
-            # a block of many groups is cut into tiles (parts i <= j), so that no task has all its pairs
-            parts = F.ceil(F.col("_size") / TILE_GROUPS).cast("long")
-            own = live.withColumn("_k", parts).withColumn("_p", F.pmod(F.xxhash64("g", F.lit(3)), F.col("_k")))
-            cols = ("g", "n", "pos", "lo", "hi", *BITS)
-            x = own.withColumn("_o", F.explode(F.sequence("_p", F.col("_k") - 1))).select("token", F.col("_p").alias("_i"), F.col("_o").alias("_j"), *[F.col(c).alias(f"a{c}") for c in cols])
-            y = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), "_p"))).select("token", F.col("_o").alias("_i"), F.col("_p").alias("_j"), *[F.col(c).alias(f"b{c}") for c in cols])
-            sides = x.join(y, ["token", "_i", "_j"])
-            once = F.when(F.col("_i") == F.col("_j"), F.col("ag") < F.col("bg")).otherwise(F.lit(True))
-            apart = once & ((F.col("alo") != F.col("blo")) | (F.col("alo") != F.col("ahi")) | (F.col("blo") != F.col("bhi")))
-        found = sides.filter(apart & _compatible("a", "b", percent)).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb")).distinct()
+            found = _across(live, percent).distinct()
         # expand groups to members
         one, two = (in_group.select(F.col("g").alias(c), F.col("member").alias(m)) for c, m in (("ga", "a"), ("gb", "b")))
         pairs = found.join(one, "ga").join(two, "gb").select("a", "b")

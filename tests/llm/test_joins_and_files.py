@@ -69,6 +69,26 @@ def test_jaccard_classes_of_dense_and_chained_copies(spark, monkeypatch):
         assert {r.doc_id: r.n_links for r in got} == link_counts(rows, 4, 85)
 
 
+def test_pairs_of_groups_come_out_of_one_block(spark, monkeypatch):
+    """Groups that meet in many blocks: one row for each pair, where both first meet, and blocks of the same groups are one."""
+    rng = random.Random(3)
+    held = {g: sorted(rng.sample(range(12), 9)) for g in range(40)}
+    held |= {100: list(range(20, 60)), 101: list(range(20, 60)), 102: list(range(40, 60))}
+    rows = spark.createDataFrame([(g, p, t) for g, ts in held.items() for p, t in enumerate(ts)], "g long, pos int, token long")
+    kept = {r.token for r in ngram_jaccard._first_blocks(rows).collect()}
+    assert kept == {*range(12), 20, 40}
+    size = rows.groupBy("token").agg(F.count("*").alias("_size"))
+    facts = {"n": F.lit(1000).cast("long"), "lo": F.col("g"), "hi": F.col("g")} | {x: F.lit(0).cast("long") for x in ngram_jaccard.BITS}
+    live = rows.join(size, "token").withColumns(facts).filter(F.col("token").isin(kept))
+    pairs = {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])}
+    for tile, earlier in ((4000, 32), (7, 32), (4000, 2)):
+        monkeypatch.setattr(ngram_jaccard, "TILE_GROUPS", tile)
+        monkeypatch.setattr(ngram_jaccard, "EARLIER", earlier)
+        got = [(r.ga, r.gb) for r in ngram_jaccard._across(live, 85).collect()]
+        assert set(got) == pairs
+        assert earlier < 32 or len(got) == len(pairs)
+
+
 def test_rows_of_one_id_are_documents_of_their_own(spark):
     rng = random.Random(8)
     a, b, c = (prose(rng, 40) for _ in range(3))
