@@ -11,7 +11,7 @@
    bits in which two differ bound their symmetric difference from below), all inside the join's
    condition; then they expand to pairs of members and are verified on whole sets.
 4. A dense block would give every pair of its members. So each block first pairs
-   all of it with one hub; whatever the verified links already connect
+   all of it with one hub, then a large one with about MANY_HUBS of its groups; whatever the verified links already connect
    needs no further test, since it can't change a class. Blocks that still hold
    more than one class then pair across classes, large ones in tiles, and a pair comes out of the
    first block that both are in. No link that joins two classes is lost and no cap is used.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, keep, lean, lean_group, mix, release, scratch, settle, shingle_sets, small_batches
@@ -37,6 +37,8 @@ HOT_LEAST, HOT_LIMIT = 8, 1 << 18
 BUCKET_BYTES = 24 << 20
 #: Groups on a side of a tile of a block; shingles and sets on a side of a tile of a class.
 TILE_GROUPS, TILE_SHINGLES, TILE_SETS = 4000, 250_000, 1000
+#: A block of more groups than LARGE pairs with up to so many hubs, before it pairs across classes.
+LARGE, MANY_HUBS = 1024, 128
 #: So many of a group's earlier blocks go with each of its rows, so that a pair that meets in several comes out of one.
 EARLIER = 32
 
@@ -202,6 +204,19 @@ def _with_earlier(live: DataFrame) -> DataFrame:
     return live.join(first, "g", "left").withColumn("early", F.coalesce(before, F.array().cast("array<long>"))).drop("_e")
 
 
+def _with_hubs(live: DataFrame, percent: int, turn: int) -> DataFrame:
+    """ga, gb: pairs of ``_across`` of blocks over LARGE, one side being a hub: a group whose hash (another one each turn) takes it among half of MANY_HUBS to MANY_HUBS of its block."""
+    cut = F.pow(F.lit(2), F.ceil(F.log2(F.col("_size") / MANY_HUBS))).cast("long")
+    own = _with_earlier(live.filter(F.col("_size") > LARGE)).withColumn("_hub", F.pmod(F.xxhash64("g", F.lit(11 + turn)), F.greatest(cut, F.lit(1))) == 0)
+    cols = ("g", "n", "pos", "lo", "hi", "early", "_hub", *BITS)
+    parts = F.ceil(F.col("_size") / TILE_GROUPS).cast("long")  # hubs go to each part of their block
+    sides = own.filter("_hub").withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), own.withColumn("_p", F.pmod(F.xxhash64("g", F.lit(3)), parts))
+    x, y = (side.select("token", "_p", *[F.col(c).alias(f"{s}{c}") for c in cols]) for s, side in zip("ab", sides, strict=True))
+    once = ~(F.col("b_hub") & (F.col("ag") >= F.col("bg")))
+    apart = once & ((F.col("alo") != F.col("blo")) | (F.col("alo") != F.col("ahi")) | (F.col("blo") != F.col("bhi")))
+    return x.join(y, ["token", "_p"]).filter(apart & _compatible("a", "b", percent) & ~F.arrays_overlap("aearly", "bearly")).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb"))
+
+
 def _across(live: DataFrame, percent: int) -> DataFrame:
     """ga, gb: pairs of groups in blocks of ``live`` (token, _size, g, pos, n, lo, hi, BITS) that may hold links between classes. A pair comes out
     where both first meet; more often only if that is behind EARLIER other blocks. A block of many groups is cut into tiles (parts i <= j), so that no task has all its pairs."""
@@ -210,9 +225,9 @@ def _across(live: DataFrame, percent: int) -> DataFrame:
     cols = ("g", "n", "pos", "lo", "hi", "early", *BITS)
     x = own.withColumn("_o", F.explode(F.sequence("_p", F.col("_k") - 1))).select("token", F.col("_p").alias("_i"), F.col("_o").alias("_j"), *[F.col(c).alias(f"a{c}") for c in cols])
     y = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), "_p"))).select("token", F.col("_o").alias("_i"), F.col("_p").alias("_j"), *[F.col(c).alias(f"b{c}") for c in cols])
-    once = F.when(F.col("_i") == F.col("_j"), F.col("ag") < F.col("bg")).otherwise(F.lit(True)) & ~F.arrays_overlap("aearly", "bearly")
+    once = F.when(F.col("_i") == F.col("_j"), F.col("ag") < F.col("bg")).otherwise(F.lit(True))
     apart = once & ((F.col("alo") != F.col("blo")) | (F.col("alo") != F.col("ahi")) | (F.col("blo") != F.col("bhi")))
-    return x.join(y, ["token", "_i", "_j"]).filter(apart & _compatible("a", "b", percent)).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb"))
+    return x.join(y, ["token", "_i", "_j"]).filter(apart & _compatible("a", "b", percent) & ~F.arrays_overlap("aearly", "bearly")).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb"))
 
 
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -348,7 +363,7 @@ def link_counts(members: DataFrame, held: DataFrame, percent: int, rows: int) ->
     return parts.groupBy("unit").applyInArrow(lean_group(count), "member long, links long").groupBy("member").agg(F.sum("links").alias("links"))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 1, count_links: bool = True) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 2, count_links: bool = True) -> DataFrame:
     """Classes of documents under links of Jaccard similarity ``percent`` / 100 or more of ``k``-word shingle sets.
 
     A-Z are lower-cased, words are runs of anything but ASCII white space; a text of
@@ -407,22 +422,26 @@ def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links
 
     mixed = not in_group.filter("size > 1").isEmpty()
     comp = members.select(F.col("member").alias("node"), F.col("member").alias("comp"))
-    links = tried = held = None
+    links = tried = held = live = None
     for turn in range(hub_rounds + 1):
-        # classes that a group's members are in
-        spread = in_group.join(comp.withColumnRenamed("node", "member"), "member").groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        labelled = rows.join(spread, "g")
-        open_blocks = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("_size")).filter("_lo < _hi").select("token", "_size")
-        live = keep(labelled.join(open_blocks, "token").join(facts, "g"), f"live{turn}", n_rows)
+        if live is None:
+            # classes that a group's members are in
+            spread = in_group.join(comp.withColumnRenamed("node", "member"), "member").groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            labelled = rows.join(spread, "g")
+            open_blocks = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("_size")).filter("_lo < _hi").select("token", "_size")
+            live = keep(labelled.join(open_blocks, "token").join(facts, "g"), f"live{turn}", n_rows)
         if live.isEmpty() and not mixed:
             break
-        if turn < hub_rounds:
-            # the hub of a block: of the classes in it that no earlier turn took, the member with the fewest rare shingles before this one
-            hub_of = live.groupBy("token", "lo").agg(F.min(F.struct("pos", "n", "g", "lo", *BITS)).alias("h"))
-            pick = hub_of.groupBy("token").agg(F.min("h").alias("h")) if turn == 0 else _nth_hub(hub_of, turn)
+        if turn == 0 < hub_rounds:
+            # the hub of a block: the group with the fewest rare shingles before this one
+            pick = live.groupBy("token").agg(F.min(F.struct("pos", "n", "g", "lo", *BITS)).alias("h"))
             sides = live.join(pick, "token").select(F.col("g").alias("bg"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), *[F.col(x).alias(f"b{x}") for x in BITS], F.col("h.g").alias("ag"), F.col("h.n").alias("an"), F.col("h.pos").alias("apos"), F.col("h.lo").alias("alo"), *[F.col(f"h.{x}").alias(f"a{x}") for x in BITS])
             apart = (F.col("ag") != F.col("bg")) & ((F.col("alo") != F.col("blo")) | (F.col("blo") != F.col("bhi")))
             found = sides.filter(apart & _compatible("a", "b", percent)).select(F.least("ag", "bg").alias("ga"), F.greatest("ag", "bg").alias("gb")).distinct()
+        elif turn < hub_rounds:
+            if live.filter(F.col("_size") > LARGE).isEmpty():
+                continue
+            found = _with_hubs(live, percent, turn).distinct()
         else:
             found = _across(live, percent).distinct()
         # expand groups to members
@@ -439,11 +458,12 @@ def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links
             at = comp.select(F.col("node").alias("a"), F.col("comp").alias("_ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("_cb"))
             pairs = pairs.join(at[0], "a").join(at[1], "b").filter("_ca <> _cb").select("a", "b")
         pairs = keep(pairs.distinct() if turn == 0 and hub_rounds == 0 else pairs, f"pairs{turn}")
-        discard(spark, live)
         release(spark)
         n_pairs = pairs.count()
         if not n_pairs:
             continue
+        discard(spark, live)
+        live = None
         wanted = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct().join(members.select("member", "rep", "sig1", "sig2"), "member")
         if held is not None:  # sets that an earlier turn read already
             wanted = wanted.join(held.select("member"), "member", "left_anti")
@@ -468,10 +488,3 @@ def _classes(docs: DataFrame, k: int, percent: int, hub_rounds: int, count_links
     in_class = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(in_class, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(in_class, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
     return out if count_links else out.drop("n_links")
-
-
-def _nth_hub(hub_of: DataFrame, turn: int) -> DataFrame:
-    """The hub of the class that is ``turn``-th in its block, or of the last."""
-    order = Window.partitionBy("token").orderBy("h.pos", "h.n", "h.g")
-    numbered = hub_of.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= turn + 1)
-    return numbered.groupBy("token").agg(F.max_by("h", "_r").alias("h"))

@@ -89,6 +89,42 @@ def test_pairs_of_groups_come_out_of_one_block(spark, monkeypatch):
         assert earlier < 32 or len(got) == len(pairs)
 
 
+def test_large_blocks_pair_with_many_hubs_first(spark, monkeypatch):
+    """Near copies of one text: links with a few hubs join most classes, so fewer pairs across classes are left, and the classes are right."""
+    rng = random.Random(6)
+    base, rows = prose(rng, 130).split(" "), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(60)] = f"edit{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(w), *[None] * 6))
+    across, hubs = ngram_jaccard._across, ngram_jaccard._with_hubs
+    made = []
+
+    def counted(of):
+        def run(*arguments):
+            found = of(*arguments)
+            made.append(found.count())
+            return found
+
+        return run
+
+    monkeypatch.setattr(ngram_jaccard, "_across", counted(across))
+    monkeypatch.setattr(ngram_jaccard, "_with_hubs", counted(hubs))
+    monkeypatch.setattr(ngram_jaccard, "LARGE", 16)
+    monkeypatch.setattr(ngram_jaccard, "MANY_HUBS", 16)
+    monkeypatch.setattr(ngram_jaccard, "TILE_GROUPS", 40)
+    expected, total = classes(rows, 4, 85), []
+    for rounds in (1, 2):
+        made.clear()
+        got = ngram_jaccard.jaccard_classes(frame(spark, rows), 4, 85, hub_rounds=rounds).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+        assert {r.doc_id: r.n_links for r in got} == link_counts(rows, 4, 85)
+        assert len(made) == rounds
+        total.append(sum(made))
+    assert 3 * total[1] < 2 * total[0], total
+
+
 def test_rows_of_one_id_are_documents_of_their_own(spark):
     rng = random.Random(8)
     a, b, c = (prose(rng, 40) for _ in range(3))
