@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.iterate import cut
+
 MESSAGE = "struct<sender:int,recipients:array<int>,cc:array<int>,subject:string,body:string,time:string>"
 DIGEST = f"emails array<array<{MESSAGE}>>, names array<string>, clusters array<int>, cluster_names array<string>"
 GRAPH = "vertices int, edges int, edgedata array<double>, labels array<string>, orgs array<int>"
@@ -71,7 +77,9 @@ def read_hypergraph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     d = _json(spark, path, HYPERGRAPH)
     pairs = d.select(F.col("hyperedgedata").cast("array<double>").alias("hyperedgedata"), "weights", "labels", "orgs")
     inc = pairs.select(F.explode(_chunks("hyperedgedata", 2)).alias("x")).select(F.col("x")[0].cast("int").alias("edge_id"), F.col("x")[1].cast("int").alias("node_id")).distinct()
-    return _people(d, "labels", "orgs"), inc, d.select(F.posexplode("weights").alias("edge_id", "weight"))
+    first = F.when((F.col("vertices") == 0) & (F.size("hyperedgedata") > 0), F.col("hyperedgedata")[0]).otherwise(0)  # of an object that is a range
+    weights = d.select(first.alias("_first"), F.posexplode("weights").alias("_at", "weight")).select((F.col("_first") + F.col("_at")).alias("edge_id"), "weight")
+    return _people(d, "labels", "orgs"), inc, weights
 
 
 def read_tensor3(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -141,18 +149,51 @@ def _small(df: DataFrame, most: int = 2_000_000) -> list:
     return df.collect()
 
 
-def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """One JSON object in ``path``, entries sorted by (dst, src); for exports behind a row guard. Ids must be dense."""
+def _parts(rows: DataFrame, order: list[str], schema: str, one: Callable[[pd.DataFrame], tuple], each: int) -> DataFrame:
+    """An object for each range of about ``each`` rows in ``order``; equal values of the first column stay together."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def pack(batches):
+        held = [b for b in batches if len(b)]
+        if held:
+            yield pd.DataFrame([one(pd.concat(held, ignore_index=True))], columns=names)
+
+    return rows.repartitionByRange(max(1, -(-rows.count() // each)), order[0]).sortWithinPartitions(*order).mapInPandas(pack, schema)
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str, most: int = 2_000_000) -> None:
+    """One JSON object in ``path``, entries sorted by (dst, src). Ids must be dense. Over ``most`` entries the folder has an object with the
+    vertices, and one for each range of entries (its ``vertices`` is 0); readers put them together."""
     people = sorted(_small(vertices), key=lambda r: r.id)
-    rows = sorted(_small(edges), key=lambda r: (r.dst, r.src))
+    names, orgs = [p.name for p in people], [p.org for p in people]
+    edges = cut(edges.select("src", "dst", F.col("w").cast("double")))
+    if edges.count() > most:
+        _write_object(edges.sparkSession, path, GRAPH, (len(people), 0, [], names, orgs))
+        _parts(edges, ["dst", "src"], GRAPH, lambda x: (0, len(x), x[["src", "dst", "w"]].to_numpy(float).ravel(), [], []), min(most, 250_000)).write.mode("append").json(path)
+        return
+    rows = sorted(_small(edges, most), key=lambda r: (r.dst, r.src))
     flat = [float(x) for r in rows for x in (r.src, r.dst, r.w)]
-    _write_object(edges.sparkSession, path, GRAPH, (len(people), len(rows), flat, [p.name for p in people], [p.org for p in people]))
+    _write_object(edges.sparkSession, path, GRAPH, (len(people), len(rows), flat, names, orgs))
 
 
-def write_hypergraph(vertices: DataFrame, incidence: DataFrame, weights: DataFrame, path: str) -> None:
-    people, w = sorted(_small(vertices), key=lambda r: r.id), sorted(_small(weights), key=lambda r: r.edge_id)
-    rows = sorted(_small(incidence), key=lambda r: (r.edge_id, r.node_id))
-    _write_object(incidence.sparkSession, path, HYPERGRAPH, (len(people), len(w), len(rows), [x for r in rows for x in (r.edge_id, r.node_id)], [float(r.weight) for r in w], [p.name for p in people], [p.org for p in people]))
+def write_hypergraph(vertices: DataFrame, incidence: DataFrame, weights: DataFrame, path: str, most: int = 2_000_000) -> None:
+    """As ``write_graph``; a range has whole hyperedges (each with a node), and weights from its first one on."""
+    people = sorted(_small(vertices), key=lambda r: r.id)
+    names, orgs = [p.name for p in people], [p.org for p in people]
+    incidence = cut(incidence.select("edge_id", "node_id"))
+    if incidence.count() > most:
+        _write_object(incidence.sparkSession, path, HYPERGRAPH, (len(people), 0, 0, [], [], names, orgs))
+
+        def one(x):
+            w = x.drop_duplicates("edge_id")["weight"].to_numpy(float)
+            return 0, len(w), len(x), x[["edge_id", "node_id"]].to_numpy(np.int32).ravel(), w, [], []
+
+        both = incidence.join(weights.select("edge_id", "weight"), "edge_id")
+        _parts(both, ["edge_id", "node_id"], HYPERGRAPH, one, min(most, 250_000)).write.mode("append").json(path)
+        return
+    w = sorted(_small(weights), key=lambda r: r.edge_id)
+    rows = sorted(_small(incidence, most), key=lambda r: (r.edge_id, r.node_id))
+    _write_object(incidence.sparkSession, path, HYPERGRAPH, (len(people), len(w), len(rows), [x for r in rows for x in (r.edge_id, r.node_id)], [float(r.weight) for r in w], names, orgs))
 
 
 def write_sequence(vertices: DataFrame, tedges: DataFrame, path: str) -> None:
